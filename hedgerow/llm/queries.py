@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokens
+from . import bpe, simhash, tokens
 from .common import scratch_path, table
 
 
@@ -23,6 +23,11 @@ def op1_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.checksums(tokens.with_start(tokens.read(spark, path)))
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -30,6 +35,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_orc_tokens": op1_orc_tokens,
+        "op4_simhash_dedup": op4_simhash_dedup,
         "op6_bpe": op6_bpe,
     }
 
