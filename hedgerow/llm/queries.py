@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, simhash, tokens
+from . import bpe, lines, simhash, tokens
 from .common import scratch_path, table
 
 
@@ -28,6 +29,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -36,9 +42,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_orc_tokens": op1_orc_tokens,
         "op4_simhash_dedup": op4_simhash_dedup,
+        "op5_line_dedup": op5_line_dedup,
         "op6_bpe": op6_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_line_dedup": lines.oracle_sql(),
+    }
