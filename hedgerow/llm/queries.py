@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, simhash, tokens
+from . import bpe, lines, simhash, substrings, tokens
 from .common import scratch_path, table
 
 
@@ -38,12 +38,17 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_orc_tokens": op1_orc_tokens,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_line_dedup": op5_line_dedup,
         "op6_bpe": op6_bpe,
+        "op8_substring_dedup": op8_substring_dedup,
     }
 
 
