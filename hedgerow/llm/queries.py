@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, simhash, substrings, tokens
+from . import bpe, lines, mixing, simhash, substrings, tokens, toxicity
 from .common import scratch_path, table
 
 
@@ -21,7 +21,9 @@ def vocabulary() -> str:
 def op1_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokens.write(table(spark, sf_dir, "documents"), path, vocabulary())
-    return tokens.checksums(tokens.with_start(tokens.read(spark, path)))
+    stored = tokens.read(spark, path)
+    found = tokens.with_start(tokens.checksums(stored), stored)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_orc_tokens": op1_orc_tokens,
@@ -49,10 +62,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_bpe": op6_bpe,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_mix_sources": op9_mix_sources,
+        "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_line_dedup": lines.oracle_sql(),
+        "op9_mix_sources": mixing.ORACLE_SQL,
     }
