@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, simhash, substrings, tokens, toxicity
+from . import bpe, lines, mixing, pii, simhash, substrings, tokens, toxicity
 from .common import scratch_path, table
 
 
@@ -40,6 +40,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_line_dedup": op5_line_dedup,
         "op6_bpe": op6_bpe,
+        "op7_pii": op7_pii,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_mix_sources": op9_mix_sources,
         "op10_toxicity": op10_toxicity,
