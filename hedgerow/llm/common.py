@@ -13,12 +13,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker turns into Python strings at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows that Spark sends to a Python worker at once.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each Spark context, where it isn't installed there."""
+    """Sends this package to the Python workers, once for each Spark context, and bounds their batches."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "hedgerow_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
