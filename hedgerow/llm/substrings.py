@@ -133,11 +133,12 @@ def half_windows(texts: DataFrame, length: int) -> DataFrame:
             if len(p):
                 yield _batch(b, w.doc[p], {"pos": (p - w.ends[w.doc[p]]).astype(np.int32), "g": w.hashes(half, p).view(np.int64)})
 
-    return texts.select("k1", "k2", "packed").mapInArrow(run, "k1 long, k2 int, pos int, g long")
+    # all columns, as everywhere that the texts are read: only equal exchanges are shared
+    return texts.select("k1", "k2", "packed", "copies").mapInArrow(run, "k1 long, k2 int, pos int, g long")
 
 
 def full_windows(marked: DataFrame, length: int) -> DataFrame:
-    """``(k1, k2, pos, w1, w2)`` from (k1, k2, packed, places): the windows for which one of the places stands."""
+    """``(k1, k2, pos, w1, w2)`` from (k1, k2, packed, places, copies): the windows for which one of the places stands."""
     half = (length + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,7 @@ def full_windows(marked: DataFrame, length: int) -> DataFrame:
                 columns = {"pos": (s - w.ends[w.doc[s]]).astype(np.int32), "w1": w.hashes(length, s).view(np.int64), "w2": w.hashes(length, s, 1).astype(np.uint32).view(np.int32)}
                 yield _batch(b, w.doc[s], columns)
 
-    return marked.select("k1", "k2", "packed", "places").mapInArrow(run, "k1 long, k2 int, pos int, w1 long, w2 int")
+    return marked.select("k1", "k2", "packed", "places", "copies").mapInArrow(run, "k1 long, k2 int, pos int, w1 long, w2 int")
 
 
 def recurring(rows: DataFrame, *key: str) -> DataFrame:
