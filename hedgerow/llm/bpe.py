@@ -14,11 +14,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,9 +28,9 @@ from .common import slices
 
 #: Pre-tokenization of the byte-level family (fixed value of the public tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks that each generation of a worker's cache holds at most.
+_ADJOINING = re.compile(r"\s\s")
+#: Pre-tokens that each generation of a worker's cache holds at most.
 CACHE = 300_000
-_TWO_SPACES = re.compile(r"\s\s")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -128,69 +129,99 @@ class Codec:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-class Chunks:
-    """The ids of texts, by a bounded cache of what recurring pieces encode to.
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """What the pattern tells apart, by code point: 0 space, 1 other white space, 2 letters, 3 numbers, 4 the rest."""
+    out = np.full(0x110000, 4, np.uint8)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every = "".join(map(chr, points))
+    for k, p in ((2, r"\p{L}+"), (3, r"\p{N}+"), (1, r"\s+")):
+        for m in regex.finditer(p, every):
+            out[points[m.start()] : points[m.end() - 1] + 1] = k
+    out[0x20] = 0
+    return out
 
-    Where no two white-space characters adjoin, every space starts a new pre-token, so a text can be cut at its
-    spaces, and what follows a space (a chunk) is looked up whole; the few other texts are cut by the pattern alone.
-    ``ids_of`` encodes pre-tokens that are not known yet. A full cache becomes the old generation, whose entries come
-    back when they are used again.
+
+def cut(texts: list[str]) -> tuple[pa.StringArray, np.ndarray] | None:
+    """The pre-tokens of all texts in a row, and how many each text has; by array operations.
+
+    None where a text has an apostrophe (contractions) or adjoining white space: the pattern alone cuts such texts.
+    """
+    data = "".join(texts).encode()
+    points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+    n = len(points)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(lengths) - lengths
+    kind = _classes()[points]
+    first = np.zeros(n + 1, bool)
+    first[begin] = True
+    first = first[:n]
+    space = kind < 2
+    if n and ((space[1:] & space[:-1] & ~first[1:]).any() or (points == 0x27).any()):
+        return None
+    starts = space.copy()
+    starts[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
+    starts |= first
+    at = np.flatnonzero(starts)
+    wide = (points >= 0x80).astype(np.uint8) + (points >= 0x800) + (points >= 0x10000)
+    extra = np.cumsum(wide, dtype=np.int32)
+    offsets = np.empty(len(at) + 1, np.int32)
+    offsets[:-1] = at + np.where(at > 0, extra[at - 1], 0) if n else 0
+    offsets[-1] = len(data)
+    tokens = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
+    counts = np.diff(np.searchsorted(at, np.append(begin, n)))
+    return tokens, counts
+
+
+class Words:
+    """The ids of texts; what recurring pre-tokens encode to is kept in a bounded cache.
+
+    ``encode`` takes pre-tokens that are not known yet, all at once, and gives the bytes of their ids as int32. A full
+    cache becomes the old generation, whose entries come back when they are used again.
     """
 
-    def __init__(self, words: regex.Pattern, ids_of: Callable[[list[str]], list[Sequence[int]]]) -> None:
-        self.words, self.ids_of = words, ids_of
-        self.chunks: dict[str, Sequence[int]] = {}
-        self.old: dict[str, Sequence[int]] = {}
-        self.rest: dict[str, Sequence[int]] = {}  # by pre-token, where none is a whole chunk
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Comes to know these chunks."""
-        known, old = self.chunks, self.old
-        new = [c for c in chunks if c not in known]
-        if len(known) + len(new) > CACHE:
-            self.old, self.chunks = old, known = known, {}
-            new = list(chunks)
-        lost = []
-        for c in new:
-            if c in old:
-                known[c] = old[c]
-            else:
-                lost.append(c)
-        if not lost:
-            return
-        found = [self.words.findall(" " + c) for c in lost]
-        self.know_words({w for ws in found if len(ws) > 1 for w in ws} | {ws[0] for ws in found if len(ws) == 1})
-        rest = self.rest
-        for c, ws in zip(lost, found, strict=True):
-            known[c] = rest[ws[0]] if len(ws) == 1 else tuple([i for w in ws for i in rest[w]])
-
-    def know_words(self, words: set[str]) -> None:
-        """Comes to know these pre-tokens."""
-        if len(self.rest) + len(words) > CACHE // 2:
-            self.rest.clear()
-        rest, chunks, old = self.rest, self.chunks, self.old
-        lost = []
-        for w in words:
-            if w not in rest:
-                if (x := chunks.get(w[1:]) or old.get(w[1:])) and w[0] == " ":
-                    rest[w] = x
-                else:
-                    lost.append(w)
-        rest.update(zip(lost, self.ids_of(lost), strict=True))
-
-    def texts(self, texts: list[str]) -> Iterator[list[int]]:
-        """For each text its ids, in order."""
-        cut = [None if _TWO_SPACES.search(t) else t.split(" ") for t in texts]
-        loose = [self.words.findall(t if c is None else c[0]) for t, c in zip(texts, cut, strict=True)]
-        need: set[str] = set()
-        for c in cut:
-            if c:
-                need.update(c[1:])
-        self.learn(need)
-        self.know_words({w for ws in loose for w in ws})
-        chunk, word = self.chunks.__getitem__, self.rest.__getitem__
-        for c, ws in zip(cut, loose, strict=True):
-            yield list(chain.from_iterable(chain(map(word, ws), map(chunk, c[1:] if c else ()))))
+    def __init__(self, words: regex.Pattern, encode: Callable[[list[str]], list[bytes]]) -> None:
+        self.words, self.encode = words, encode
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct pre-tokens."""
+        now = self.now
+        new = [w for w in words if w not in now]
+        if len(now) + len(new) > CACHE:
+            self.old, self.now = now, {}
+            now, new = self.now, words
+        if new:
+            old = self.old
+            lost = [w for w in new if w not in old]
+            now.update([(w, old[w]) for w in new if w in old])
+            now.update(zip(lost, self.encode(lost), strict=True))
+        return [now[w] for w in words]
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        odd = [k for k, t in enumerate(texts) if "'" in t or _ADJOINING.search(t)]
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        for k in odd:
+            ws = self.words.findall(texts[k])
+            of = dict(zip(own := list(dict.fromkeys(ws)), self.known(own), strict=True))
+            out[k] = np.frombuffer(b"".join(map(of.__getitem__, ws)), np.int32)
+        rest = sorted(set(range(len(texts))) - set(odd))
+        if not rest:
+            return out
+        tokens, counts = cut([texts[k] for k in rest]) or (None, None)
+        if tokens is None:
+            raise ValueError("white space or an apostrophe was overlooked")
+        coded = tokens.dictionary_encode()
+        values = self.known(coded.dictionary.to_pylist())
+        ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // 4)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(values), np.int32)))
+        taken = lists.take(coded.indices)
+        ids, bounds = taken.flatten().to_numpy(), taken.offsets.to_numpy()[np.append(0, np.cumsum(counts))]
+        for i, k in enumerate(rest):
+            out[k] = ids[bounds[i] : bounds[i + 1]]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -219,11 +250,12 @@ def _mapped(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        cache = Chunks(c.words, lambda words: [tuple(c.merge(w.encode())) for w in words])
+        cache = Words(c.words, lambda words: [array("i", c.merge(w.encode())).tobytes() for w in words])
         decimal, string = c.decimals.__getitem__, c.strings.__getitem__
         for b in slices(batches, "text"):
             n, ids, back = [], [], []
-            for x in with_special(c, cache, [t or "" for t in b.column(1).to_pylist()]):
+            for found in with_special(c, cache, [t or "" for t in b.column(1).to_pylist()]):
+                x = found.tolist()
                 n.append(len(x))
                 a, d = b",".join(map(decimal, x)), b"".join(map(string, x)).decode("utf-8", errors="replace")
                 ids.append(hashlib.sha256(a).hexdigest() if digest else a.decode())
@@ -233,15 +265,12 @@ def _mapped(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, digest
     return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {names[0]} string, {names[1]} string")
 
 
-def with_special(c: Codec, cache: Chunks, texts: list[str]) -> Iterator[list[int]]:
+def with_special(c: Codec, cache: Words, texts: list[str]) -> list[np.ndarray]:
     """cache.texts(), with texts that hold a special string cut at it."""
     odd = {k for k, t in enumerate(texts) if any(s in t for s in c.special)}
-    plain = cache.texts([t for k, t in enumerate(texts) if k not in odd])
-    for k, t in enumerate(texts):
-        if k not in odd:
-            yield next(plain)
-            continue
-        out: list[int] = []
-        for part, is_special in c.parts(t):
-            out += [c.special[part]] if is_special else next(Chunks(cache.words, cache.ids_of).texts([part]))
-        yield out
+    parts = {k: list(c.parts(texts[k])) for k in odd}
+    found = cache.texts(["" if k in odd else t for k, t in enumerate(texts)] + [p for ps in parts.values() for p, is_special in ps if not is_special])
+    rest = iter(found[len(texts) :])
+    for k, ps in parts.items():
+        found[k] = np.concatenate([np.array([c.special[p]], np.int32) if is_special else next(rest) for p, is_special in ps])
+    return found[: len(texts)]

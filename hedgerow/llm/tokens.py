@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, Chunks, codec, regex, with_special
+from .bpe import PATTERN, Words, codec, regex, with_special
 from .common import slices
 
 SCHEMA = "doc_id long, chunk int, offset long, n_tokens long, tokens array<int>"
@@ -43,13 +43,28 @@ def library(vocabulary: str):  # noqa: ANN201
 
 
 def _encoder(vocabulary: str):  # noqa: ANN202
-    """Encodes texts with the library; a pre-token that recurs is encoded once."""
-    t = library(vocabulary)
-
-    def ids_of(words: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in t.encode_batch_fast(words, add_special_tokens=False)]
+    """Encodes texts with the library to bytes of int32; a pre-token that recurs is encoded once.
 
-    c, cache = codec(vocabulary), Chunks(regex.compile(PATTERN), ids_of)
+    New pre-tokens are given to the library as the lines of one text: a line break is a pre-token of its own between
+    others, and its id tells where each ends. White space is encoded by itself.
+    """
+    t = library(vocabulary)
+    [line] = t.encode("\n", add_special_tokens=False).ids
+
+    def encode(words: list[str]) -> list[bytes]:
+        blank = {w: np.array(t.encode(w, add_special_tokens=False).ids, np.int32).tobytes() for w in words if w.isspace()}
+        full = [w for w in words if w not in blank]
+        ids = np.array(t.encode_batch_fast(["\n".join(full)], add_special_tokens=False)[0].ids, np.int32) if full else np.zeros(0, np.int32)
+        ends = [*np.flatnonzero(ids == line).tolist(), len(ids)] if full else []
+        if len(ends) != len(full):
+            raise ValueError("a pre-token was cut at a line break")
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(full, ends, strict=True):
+            blank[w] = raw[4 * at : 4 * end]
+            at = end + 1
+        return [blank[w] for w in words]
+
+    c, cache = codec(vocabulary), Words(regex.compile(PATTERN), encode)
     return lambda texts: with_special(c, cache, texts)
 
 
@@ -58,16 +73,15 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, chunk, offset = _encoder(vocabulary), TaskContext.get().partitionId(), 0
+        last = np.array([end_id], np.int32)
         for b in slices(batches, "text"):
-            starts, lengths, flat = [], [], []
-            for ids in encode([x or "" for x in b.column(1).to_pylist()]):
-                ids.append(end_id)
-                flat.append(np.array(ids, np.int32))
-                starts.append(offset)
-                lengths.append(len(ids))
-                offset += len(ids)
-            bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(flat)))
+            found = encode([x or "" for x in b.column(1).to_pylist()])
+            flat = [y for x in found for y in (x, last)]
+            lengths = np.array([len(x) + 1 for x in found], np.int64)
+            bounds = np.concatenate([[0], np.cumsum(lengths)])
+            starts = offset + bounds[:-1]
+            offset += int(bounds[-1])
+            tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(flat)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([chunk] * len(lengths), pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), tokens], ["doc_id", "chunk", "offset", "n_tokens", "tokens"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -80,23 +94,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(path)
 
 
-def with_start(stored: DataFrame) -> DataFrame:
-    """The rows with ``start``: the ids of all documents before, by the files' totals (one row for each file)."""
-    totals = stored.groupBy("chunk").agg(F.sum("n_tokens").alias("total"))
+def with_start(rows: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """The rows with ``start``: the ids of all documents before, by the files' totals (one row for each file).
+
+    ``totals`` has (chunk, n_tokens) of all stored rows, where ``rows`` are not these.
+    """
+    totals = (rows if totals is None else totals).groupBy("chunk").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     bases = totals.select("chunk", F.coalesce(before, F.lit(0)).alias("base"))
-    return stored.join(bases, "chunk").withColumn("start", F.col("base") + F.col("offset"))
+    return rows.join(bases, "chunk").withColumn("start", F.col("base") + F.col("offset"))
 
 
-def checksums(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of each row's ids as little-endian unsigned 32-bit integers."""
+def checksums(stored: DataFrame) -> DataFrame:
+    """The stored rows with ``ids_crc32``, the CRC-32 of each row's ids as little-endian unsigned 32-bit integers, in
+    place of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, crc = b.column(3), []
+            ids, crc = b.column(4), []
             values, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
             for i in range(len(ids)):
-                crc.append(zlib.crc32(values[ends[i] : ends[i + 1]].tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                crc.append(zlib.crc32(values[ends[i] : ends[i + 1]]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crc, pa.int64())], ["doc_id", "chunk", "offset", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return stored.mapInArrow(run, "doc_id long, chunk int, offset long, n_tokens long, ids_crc32 long")
