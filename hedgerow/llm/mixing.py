@@ -73,21 +73,38 @@ def thresholds(docs: DataFrame, rests: DataFrame) -> DataFrame:
     return rests.select("source_key").join(state, "source_key", "left").select("source_key", F.col("prefix").alias("threshold"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, source, ...) with size, source_size, target and copies (how often the mix takes the row)."""
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    narrow = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    sizes = written(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
+def sized(docs: DataFrame) -> DataFrame:
+    """``(doc_id, source, size)``."""
+    return docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+
+
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
+
+
+def plan(sizes: DataFrame) -> DataFrame:
+    """One row for each source of sizes(doc_id, source, size): source_size, target, whole copies and the threshold under
+    which documents are taken once more. ``sizes`` is read more than once, so it should be a stored table."""
+    by_source = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0)
-    plan = targets(sizes).withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("source_key", key)
-    plan = written(plan, "mix-plan")
-    placed = written(narrow.select(key.alias("source_key"), place(F.col("doc_id")).alias("place"), "size").filter("size > 0").groupBy("source_key", "place").agg(F.sum("size").alias("size")), "mix-places")
-    plan = plan.join(thresholds(placed, plan), "source_key").select(F.col("source_key").alias("hedgerow_key"), "source_size", "target", "whole", "threshold")
-    base = docs.drop("size", "source_size", "target", "copies", "whole", "threshold").withColumn("size", words(F.col("text"))).withColumn("hedgerow_key", key)
+    found = targets(by_source).withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("source_key", _key())
+    found = written(found, "mix-plan")
+    placed = sizes.filter("size > 0").groupBy(_key().alias("source_key"), place(F.col("doc_id")).alias("place")).agg(F.sum("size").alias("size"))
+    return found.join(thresholds(written(placed, "mix-places"), found), "source_key").select(F.col("source_key").alias("hedgerow_key"), "source_size", "target", "whole", "threshold")
+
+
+def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows(doc_id, source, size, ...) with source_size, target and copies (how often the mix takes the row)."""
+    base = rows.drop("source_size", "target", "copies", "whole", "threshold").withColumn("hedgerow_key", _key())
     extra = F.when(F.col("threshold").isNull() | (place(F.col("doc_id")) < F.col("threshold")), 1).otherwise(0)
     return base.join(plan, "hedgerow_key").withColumn("copies", F.col("whole") + extra).drop("hedgerow_key", "whole", "threshold")
 
 
+def mix(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, source, ...) with size, source_size, target and copies."""
+    return taken(docs.withColumn("size", words(F.col("text"))), plan(written(sized(docs), "sizes")))
+
+
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS place FROM documents),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, impact, lines, mixing, pii, simhash, substrings, tokens, toxicity
-from .common import scratch_path, table
+from .common import scratch_path, table, written
 
 
 def vocabulary() -> str:
@@ -57,7 +57,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sizes = written(mixing.sized(table(spark, sf_dir, "documents")), "sizes")
+    found = mixing.taken(sizes, mixing.plan(sizes))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
