@@ -241,7 +241,7 @@ def _network_signature(t: Column, options: Column) -> Column:
     domains = F.array_join(F.array_sort(F.flatten(F.transform(scope, lambda v: F.split(v, r"\|", -1)))), "|")
     party = F.array_join(F.array_sort(F.transform(F.filter(options, lambda o: _option_name(o).isin("third-party", "first-party", "3p", "1p", "http", "https")), lambda o: F.when(o == "3p", "third-party").when(o == "1p", "first-party").otherwise(o))), ",")
     rest = F.array_join(F.array_sort(F.filter(options, lambda o: _option_name(o).isin("important", "match-case", "badfilter", "generichide", "redirect", "redirect-rule", "rewrite", "csp", "removeparam"))), ",")
-    return F.concat_ws("\x1f", F.lit("n"), F.when(exact, pattern).otherwise(ascii_lower(pattern)), types, domains, party, rest)
+    return F.concat_ws("\x1f", F.when(is_full_regex(t), "x").otherwise("n"), F.when(exact, pattern).otherwise(ascii_lower(pattern)), types, domains, party, rest)
 
 
 def _cosmetic_signature(t: Column) -> Column:
