@@ -147,8 +147,8 @@ def cut(texts: list[str]) -> tuple[pa.StringArray, np.ndarray] | None:
 
     None where a text has an apostrophe (contractions) or adjoining white space: the pattern alone cuts such texts.
     """
-    data = "".join(texts).encode()
-    points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+    joined = "".join(texts)
+    data, points = joined.encode(), np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     n = len(points)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(lengths) - lengths
@@ -187,17 +187,22 @@ class Words:
 
     def known(self, words: list[str]) -> list[bytes]:
         """The ids of distinct pre-tokens."""
-        now = self.now
-        new = [w for w in words if w not in now]
-        if len(now) + len(new) > CACHE:
-            self.old, self.now = now, {}
-            now, new = self.now, words
-        if new:
-            old = self.old
-            lost = [w for w in new if w not in old]
-            now.update([(w, old[w]) for w in new if w in old])
-            now.update(zip(lost, self.encode(lost), strict=True))
-        return [now[w] for w in words]
+        values = list(map(self.now.get, words))
+        gaps = [i for i, v in enumerate(values) if v is None]
+        if not gaps:
+            return values
+        if len(self.now) + len(gaps) > CACHE:
+            self.old, self.now = self.now, {}
+        lost = []
+        for i, v in zip(gaps, [self.old.get(words[i]) for i in gaps], strict=True):
+            if v is None:
+                lost.append(i)
+            else:
+                values[i] = v
+        for i, v in zip(lost, self.encode([words[i] for i in lost]), strict=True):
+            values[i] = v
+        self.now.update((words[i], values[i]) for i in gaps)
+        return values
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""

@@ -63,14 +63,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about SLICE_BYTES of text (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``most`` bytes of text (one row at least)."""
     for batch in batches:
         col = batch.column(batch.schema.names.index(text))
         lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
         start = size = 0
         for i, n in enumerate(lengths):
-            if i > start and size + n > SLICE_BYTES:
+            if i > start and size + n > most:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += int(n)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, Words, codec, regex, with_special
-from .common import slices
+from .bpe import PATTERN, Words, byte_alphabet, codec, regex, with_special
+from .common import SLICE_BYTES, slices
 
 SCHEMA = "doc_id long, chunk int, offset long, n_tokens long, tokens array<int>"
 #: Bytes of an ORC stripe, rows between two entries of a row index, and the Bloom filters' error rate.
@@ -43,26 +44,15 @@ def library(vocabulary: str):  # noqa: ANN201
 
 
 def _encoder(vocabulary: str):  # noqa: ANN202
-    """Encodes texts with the library to bytes of int32; a pre-token that recurs is encoded once.
+    """Encodes texts with the library; a pre-token that recurs is encoded once.
 
-    New pre-tokens are given to the library as the lines of one text: a line break is a pre-token of its own between
-    others, and its id tells where each ends. White space is encoded by itself.
+    New pre-tokens go to the library's model in the form that its pre-tokenizer gives them: a character for each byte.
     """
-    t = library(vocabulary)
-    [line] = t.encode("\n", add_special_tokens=False).ids
+    tokenize = library(vocabulary).model.tokenize
+    printed = {b: c for c, b in byte_alphabet().items()}
 
     def encode(words: list[str]) -> list[bytes]:
-        blank = {w: np.array(t.encode(w, add_special_tokens=False).ids, np.int32).tobytes() for w in words if w.isspace()}
-        full = [w for w in words if w not in blank]
-        ids = np.array(t.encode_batch_fast(["\n".join(full)], add_special_tokens=False)[0].ids, np.int32) if full else np.zeros(0, np.int32)
-        ends = [*np.flatnonzero(ids == line).tolist(), len(ids)] if full else []
-        if len(ends) != len(full):
-            raise ValueError("a pre-token was cut at a line break")
-        raw, at = ids.tobytes(), 0
-        for w, end in zip(full, ends, strict=True):
-            blank[w] = raw[4 * at : 4 * end]
-            at = end + 1
-        return [blank[w] for w in words]
+        return [array("i", [k.id for k in tokenize(w.encode().decode("latin-1").translate(printed))]).tobytes() for w in words]
 
     c, cache = codec(vocabulary), Words(regex.compile(PATTERN), encode)
     return lambda texts: with_special(c, cache, texts)
@@ -74,7 +64,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, chunk, offset = _encoder(vocabulary), TaskContext.get().partitionId(), 0
         last = np.array([end_id], np.int32)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 * SLICE_BYTES):
             found = encode([x or "" for x in b.column(1).to_pylist()])
             flat = [y for x in found for y in (x, last)]
             lengths = np.array([len(x) + 1 for x in found], np.int64)
