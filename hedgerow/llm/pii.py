@@ -137,3 +137,31 @@ def digest(found: DataFrame) -> DataFrame:
     of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda x: reduce(lambda a, b: a | b, [x["kind"] == k for k in BASE]))
     return found.select("doc_id", *[of(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of the query: the contract's own patterns, positions from the pieces between matches."""
+    digits = "regexp_replace(s, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(string_split(reverse({digits}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT ELSE c::INT * 2 - CASE WHEN c::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    moved = "replace(s, ' ', '')[5:] || replace(s, ' ', '')[:4]"
+    mod = f"list_reduce(list_transform(string_split({moved}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97, 0) = 1"
+    near = f"regexp_matches(lower(substr(t, greatest(a - {NEAR}, 0) + 1, a - greatest(a - {NEAR}, 0)) || ' ' || substr(t, b + 1, {NEAR})), '\\b(ssn|social security|tax id)')"
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(s, '.'), lambda p: TRY_CAST(p AS UHUGEINT) IS NULL OR TRY_CAST(p AS UHUGEINT) > 255)) = 0"),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN len({digits}) BETWEEN 16 AND 19 THEN {luhn} ELSE false END"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"len({digits}) BETWEEN 8 AND 15"),
+        ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", f"CASE WHEN len(replace(s, ' ', '')) BETWEEN 15 AND 34 THEN {mod} ELSE false END"),
+        ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", rf"NOT regexp_matches(s, '^(000|666|9)|-00-|-0000$') AND {near}"),
+    ]
+    parts = []
+    for i, (kind, pattern, test) in enumerate(kinds):
+        parts.append(f"""SELECT doc_id, {i} AS r, '{kind}' AS kind, a, b FROM (SELECT doc_id, t, s, g AS a, g + len(s) AS b FROM (
+            SELECT doc_id, t, m[i] AS s, list_sum(list_transform(p[1:i], lambda x: len(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0)::BIGINT AS g FROM (
+            SELECT doc_id, t, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, text AS t, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p FROM documents WHERE regexp_matches(text, '{pattern}'))))) WHERE {test}""")
+    base = ", ".join(f"'{k}'" for k in BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    text = "kind || ':' || a || ':' || b, ',' ORDER BY r, a"
+    return f"""WITH spans AS ({" UNION ALL ".join(parts)}),
+        found AS (SELECT doc_id, {counts}, string_agg({text}) FILTER (kind IN ({base})) AS base, string_agg({text}) AS spans FROM spans GROUP BY doc_id)
+        SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN found ON d.doc_id = found.doc_id"""

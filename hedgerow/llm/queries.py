@@ -87,5 +87,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_impact_topk": impact.ORACLE_SQL,
         "op5_line_dedup": lines.oracle_sql(),
+        "op7_pii": pii.oracle_sql(),
+        "op8_substring_dedup": substrings.oracle_sql(),
         "op9_mix_sources": mixing.ORACLE_SQL,
     }

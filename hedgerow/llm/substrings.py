@@ -211,3 +211,16 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW, digest: bool = False)
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("k1"), _k2(text))
     return rows.join(done, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", last)
+
+
+def oracle_sql(length: int = WINDOW) -> str:
+    """DuckDB SQL of the query: every window spelled out and counted."""
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + {length - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {length - 2})) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {length})) AS k FROM rep),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT word.doc_id, count(g.k) AS n_removed, string_agg(CASE WHEN g.k IS NULL THEN x END, ' ' ORDER BY word.k) AS t FROM word LEFT JOIN gone g ON g.doc_id = word.doc_id AND g.k = word.k GROUP BY word.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
