@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cosmetic, rules
-from .match import network_match
+from .match import cosmetic_resources, network_match
+from .storage import stored
 
 #: Hosts that every audit probes (fixed values).
 PROBED_HOSTS = (
@@ -69,7 +70,8 @@ def sample_hosts(table: DataFrame, cap: int = MAX_HOSTS) -> DataFrame:
 def systematic_sample(table: DataFrame, n: int = SAMPLE) -> DataFrame:
     """Every k-th rule in order, k the whole part of rows by n (1 at least). Ranks come from the range partitions' sizes,
     so no task sees all rows."""
-    ordered = table.select("rule").repartitionByRange("rule").withColumn("part", F.spark_partition_id())
+    # stored, as sizes and ranks must see the same ranges
+    ordered = stored(table.select("rule").repartitionByRange("rule").withColumn("part", F.spark_partition_id()))
     sizes = ordered.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("size").over(Window.partitionBy()))
     rank = F.row_number().over(Window.partitionBy("part").orderBy("rule")) - 1
@@ -112,3 +114,30 @@ def compare_network(before: DataFrame, after: DataFrame, requests: DataFrame) ->
 def serialized(table: DataFrame) -> DataFrame:
     """One row: rules, bytes with line breaks, and a hash that doesn't depend on order."""
     return table.agg(F.count("*").alias("rules"), F.coalesce(F.sum(F.octet_length("rule") + 1), F.lit(0)).alias("bytes"), F.coalesce(F.bit_xor(F.xxhash64("rule")), F.lit(0)).alias("hash"))
+
+
+def removed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rules of one list whose text isn't in another."""
+    return before.select("rule").distinct().join(after.select("rule"), "rule", "left_anti")
+
+
+def adversarial_corpus(before: DataFrame, rewritten: DataFrame, after: DataFrame, cap: int = 600_000) -> DataFrame:
+    """(url): probes of the rules that a pass removed and of those that it wrote anew (rule, best); the first ``cap``."""
+    gone = removed(before, after).union(rewritten.filter("best <> rule").select("rule")).distinct()
+    return probe_urls(gone).select("url").distinct().orderBy("url").limit(cap)
+
+
+def compare_cosmetic(pages: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(host, only_before, only_after): hosts whose hidden or spared selectors differ, with up to five of each side."""
+    side = lambda t, n: cosmetic_resources(pages, t).select("host", F.split(F.concat_ws("\n", "hide", "exceptions"), "\n").alias(n))
+    both = side(before, "a").join(side(after, "b"), "host", "full")
+    none = F.array().cast("array<string>")
+    a, b = F.coalesce("a", none), F.coalesce("b", none)
+    less = lambda x, y: F.array_join(F.slice(F.array_sort(F.array_except(x, y)), 1, 5), ",")
+    return both.select("host", less(a, b).alias("only_before"), less(b, a).alias("only_after")).filter("only_before <> '' or only_after <> ''")
+
+
+def partition_lines(lines: DataFrame, kept_cosmetic: DataFrame) -> DataFrame:
+    """The lines that aren't cosmetic, and the cosmetic ones that are kept."""
+    is_cosmetic = F.col("rule").rlike("#@?#|#[?]#")
+    return lines.filter(~is_cosmetic).unionByName(lines.filter(is_cosmetic).join(kept_cosmetic.select("rule"), "rule", "left_semi").select(*lines.columns))

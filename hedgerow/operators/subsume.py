@@ -26,24 +26,34 @@ def parsed_simple(table: DataFrame) -> DataFrame:
     return table.withColumn("x", rules.simple_rule(F.col("rule"))).filter("x is not null").select(*table.columns, "x.host", "x.path")
 
 
-def network_subsume(table: DataFrame) -> DataFrame:
+def network_subsume(table: DataFrame, strict: bool = False) -> DataFrame:
     """Without rules that a rule for a parent host, or for a leading part of the path, covers. Of rules for one host and
-    path (in any case of letters) the first in order stays; others pass."""
-    marked = table.withColumn("x", rules.simple_rule(F.col("rule"))).withColumn("host", F.col("x.host")).withColumn("lpath", rules.ascii_lower(F.col("x.path"))).drop("x")
+    path (in any case of letters) the first in order stays; others pass.
+
+    A rule's end, caret or slash, doesn't count. With ``strict`` it does: a slash covers what goes on after it, and a
+    caret of the same host and path or a parent's also covers a slash, but not the other way.
+    """
+    ends = F.when(F.lit(strict) & F.col("rule").endswith("/"), "/").otherwise("^")
+    marked = table.withColumn("x", rules.simple_rule(F.col("rule"))).withColumn("host", F.col("x.host")).withColumn("lpath", rules.ascii_lower(F.col("x.path"))).withColumn("end", ends).drop("x")
     simple = (F.col("host").isNotNull()) & (F.col("host") != "")
-    first = marked.filter(simple).groupBy("host", "lpath").agg(F.min(F.struct("ord_key", "rule")).alias("first"))
-    keys = first.select("host", "lpath")
-    hosts = first.select("host", "lpath", F.explode(rules.label_suffixes(F.col("host"))).alias("up"))
-    above = hosts.select("host", "lpath", "up", F.explode(rules.path_prefixes(F.col("lpath"))).alias("part")).filter("up <> host or part <> lpath")
-    covered = above.join(keys.select(F.col("host").alias("up"), F.col("lpath").alias("part")), ["up", "part"], "left_semi").select("host", "lpath")
-    kept = first.join(covered, ["host", "lpath"], "left_anti").select("first.rule", "first.ord_key")
+    first = marked.filter(simple).groupBy("host", "lpath", "end").agg(F.min(F.struct("ord_key", "rule")).alias("first"))
+    keys = first.select(F.col("host").alias("up"), F.col("lpath").alias("part"), F.col("end").alias("by"))
+    # both arrays once a rule, before rows multiply
+    arrays = first.select("host", "lpath", "end", rules.label_suffixes(F.col("host")).alias("ups"), rules.path_prefixes(F.col("lpath")).alias("parts"))
+    above = arrays.select("host", "lpath", "end", F.explode("ups").alias("up"), "parts").select("host", "lpath", "end", "up", F.explode("parts").alias("part"))
+    if strict:
+        covers = above.join(keys, ["up", "part"]).filter("(up <> host or part <> lpath or by <> end) and (part <> lpath or by = '^' or by = end)")
+    else:
+        covers = above.filter("up <> host or part <> lpath").join(keys, ["up", "part"], "left_semi")
+    kept = first.join(covers.select("host", "lpath", "end"), ["host", "lpath", "end"], "left_anti").select("first.rule", "first.ord_key")
     return kept.unionByName(marked.filter(~simple | F.col("host").isNull()).select("rule", "ord_key"))
 
 
-def strip_badfilters(table: DataFrame) -> DataFrame:
-    """Without badfilter rules and the rules that they cancel: equal pattern and, in order, equal other options."""
+def strip_badfilters(table: DataFrame, strict: bool = False) -> DataFrame:
+    """Without badfilter rules and the rules that they cancel: equal pattern and equal other options, in order (with
+    ``strict``, in any order)."""
     options = rules.option_list(F.col("rule"))
-    marked = table.select("*", rules.pattern_of(F.col("rule")).alias("pattern"), options.alias("o")).withColumn("bad", F.array_contains("o", "badfilter"))
+    marked = table.select("*", rules.pattern_of(F.col("rule")).alias("pattern"), (F.array_sort(options) if strict else options).alias("o")).withColumn("bad", F.array_contains("o", "badfilter"))
     cancelled = marked.filter("bad").select("pattern", F.array_join(F.filter("o", lambda o: o != "badfilter"), ",").alias("opts")).distinct()
     return marked.filter("not bad").withColumn("opts", F.array_join("o", ",")).join(cancelled, ["pattern", "opts"], "left_anti").select(*table.columns)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import rewrite, subsume
+from ..operators.storage import stored
 
 
 @dataclass
@@ -38,14 +38,6 @@ class Optimized:
         )
 
 
-def stored(table: DataFrame) -> DataFrame:
-    """The table's rows, computed once and kept in the shared checkpoint folder; they outlive lost executors."""
-    sc = table.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="hedgerow-"))
-    return table.checkpoint()
-
-
 def optimize(lines: DataFrame, cosmetic_compat: bool = True, network_optimize: bool = True, keep: Callable[[DataFrame], DataFrame] = stored) -> Optimized:
     """lines(rule) to the rules that stay. Each pass is a table of its own; ``keep`` stores a pass's rows where several
     readers would compute them again.

@@ -321,6 +321,37 @@ def liveness(spark: SparkSession, d: str) -> DataFrame:
     return audit.liveness(t, t)
 
 
+@_query(f"SELECT DISTINCT h.host, '' AS only_before, '' AS only_after FROM ({_SCOPED}) h WHERE false")
+def equivalence_cosmetic(spark: SparkSession, d: str) -> DataFrame:
+    before = _table(spark, d, "F6")
+    return audit.compare_cosmetic(spark.read.parquet(f"{d}/pages.parquet").select("url"), before, subsume.cosmetic_subsume(before))
+
+
+_GONE = f"SELECT rule FROM ({sql('F1')}) WHERE rule NOT IN ({_subsumed(sql('F1'))}) UNION SELECT rule FROM ({_BEST}) WHERE best <> rule"
+
+
+@_query(f"SELECT DISTINCT url FROM (WITH r AS ({_GONE}) {_PROBES}{_PARSED})))")
+def adversarial_corpus(spark: SparkSession, d: str) -> DataFrame:
+    before, mixed = _table(spark, d, "F1"), _table(spark, d, "F10")
+    return audit.adversarial_corpus(before, rewrite.rewritten(mixed).select("rule", "best"), subsume.network_subsume(before))
+
+
+@_query(f"""WITH g AS (SELECT DISTINCT regexp_extract(line, '#@?#(.*)$', 1) AS selector, line LIKE '%#@#%' AS spared FROM ({sql("F5")}))
+    SELECT selector FROM g WHERE NOT spared AND regexp_matches(selector, '(^|[^A-Za-z0-9_])[.](ad|b)([^A-Za-z0-9_-]|$)') AND selector NOT IN (SELECT selector FROM g WHERE spared)""")
+def generic_selectors(spark: SparkSession, d: str) -> DataFrame:
+    parts = cosmetic.split_rule(F.col("line"))
+    found = corpus(spark, d, "F5").select(parts["sep"].alias("sep"), parts["selector"].alias("selector")).distinct()
+    generic = found.filter("sep = '##'").select(F.concat(F.lit("##"), "selector").alias("rule"))
+    classes = spark.createDataFrame([("class", "ad"), ("class", "b")], "kind string, token string")
+    return match.generic_selectors(generic, classes, found.filter("sep = '#@#'").select("selector"))
+
+
+@_query(f"SELECT rule FROM ({sql('F1')}) UNION ALL SELECT line FROM ({_SCOPED}) a WHERE NOT EXISTS (SELECT 1 FROM ({_SCOPED}) b WHERE b.sep = a.sep AND ends_with(a.host, '.' || b.host) AND ends_with(b.host, 'example.' || split_part(a.host, '.', -1)))")
+def line_partition(spark: SparkSession, d: str) -> DataFrame:
+    lines = _table(spark, d, "F1", "F6")
+    return audit.partition_lines(lines, subsume.cosmetic_subsume(_table(spark, d, "F6"))).select("rule")
+
+
 @_query()
 def optimize_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return optimize(corpus(spark, d, "F1", "F2", "F6", "F10")).rules.select("rule", "ord_key")

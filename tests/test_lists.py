@@ -55,6 +55,13 @@ def test_badfilters(spark):
     assert left(subsume.strip_badfilters(table(spark, rules))) == ["||a^$script", "||c^$image,script"]
 
 
+def test_strict(spark):
+    rules = ["||a^", "||a/", "||b/", "||b^", "||c/x/", "||c/x^", "||c/x/y^", "||d/", "||s.d^", "||s.d/p^"]
+    assert left(subsume.network_subsume(table(spark, rules), strict=True)) == sorted(["||a^", "||b^", "||c/x^", "||d/", "||s.d^"])
+    rules = ["||c^$image,script", "||c^$script,image,badfilter"]
+    assert left(subsume.strip_badfilters(table(spark, rules), strict=True)) == []
+
+
 def test_scoped(spark):
     rules = ["||a^", "||a^$script", "||a^$~image,third-party", "||a^$document", "||a^$important", "||a^$script,document", "||b^$script"]
     assert left(subsume.scoped_subsume(table(spark, rules))) == sorted(["||a^", "||a^$document", "||a^$important", "||a^$script,document", "||b^$script"])
