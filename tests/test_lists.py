@@ -218,3 +218,19 @@ def test_stream(spark, tmp_path):
 def test_read_lists(spark, tmp_path):
     (tmp_path / "l.txt").write_text("a\nb\n")
     assert lists.read_lists(spark, str(tmp_path / "l.txt")).first().text == "a\nb\n"
+
+
+def test_liveness_and_growth(spark):
+    t = table(spark, ["||a.com^", "||b.com/x^", "@@||b.com/x^", "||c.com^$badfilter", "##.x:contains(q)"])
+    probes = table(spark, ["||a.com^", "||b.com/x^", "||c.com^"])
+    row = audit.liveness(t, probes).first()
+    assert (row.sampled, row.expected_dead, row.dead, row.contaminated, row.passed) == (3, 1, 1, 1, False)
+    assert audit.growth(110, 100) == (10, 10.0) and audit.growth(5, 0) == (5, 0.0)
+
+
+def test_partition_and_comparison(spark):
+    lines = table(spark, ["||a^", "x.com##.a", "y.com##.b", "z#?#.c"])
+    assert left(audit.partition_lines(lines, table(spark, ["x.com##.a"]))) == ["x.com##.a", "||a^"]
+    pages = spark.createDataFrame([("https://www.x.com/",), ("https://y.com/",)], "url string")
+    diff = audit.compare_cosmetic(pages, lines, table(spark, ["x.com##.a", "y.com##.c"])).collect()
+    assert [tuple(r) for r in diff] == [("y.com", ".b", ".c")]
