@@ -90,7 +90,9 @@ def plan(sizes: DataFrame) -> DataFrame:
     found = targets(by_source).withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("source_key", _key())
     found = written(found, "mix-plan")
     placed = sizes.filter("size > 0").groupBy(_key().alias("source_key"), place(F.col("doc_id")).alias("place")).agg(F.sum("size").alias("size"))
-    return found.join(thresholds(written(placed, "mix-places"), found), "source_key").select(F.col("source_key").alias("hedgerow_key"), "source_size", "target", "whole", "threshold")
+    found = found.join(thresholds(written(placed, "mix-places"), found), "source_key").select(F.col("source_key").alias("hedgerow_key"), "source_size", "target", "whole", "threshold")
+    # stored, so that its size is known: where it is small Spark sends it to the documents, else it shuffles both
+    return written(found, "mix-thresholds")
 
 
 def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
