@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import SLICE_BYTES, slices
 
 #: Words of a window.
 WINDOW = 35
@@ -127,7 +127,7 @@ def half_windows(texts: DataFrame, length: int) -> DataFrame:
     half = (length + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "packed"):
+        for b in slices(batches, "packed", SLICE_BYTES // 2):
             w = Windows(unpacked(b))
             p = np.unique(w.stand_ins(length, half)[1])
             if len(p):
@@ -142,7 +142,7 @@ def full_windows(marked: DataFrame, length: int) -> DataFrame:
     half = (length + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "packed"):
+        for b in slices(batches, "packed", SLICE_BYTES // 2):
             w = Windows(unpacked(b))
             places = b.column(3)
             counts = np.diff(places.offsets.to_numpy())
@@ -187,7 +187,7 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW, digest: bool = False)
     last = "kept_sha256" if digest else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "packed"):
+        for b in slices(batches, "packed", SLICE_BYTES // 2):
             n, gone, kept = [], [], []
             starts = b.column(4)
             for i, (t, copies) in enumerate(zip(unpacked(b), b.column(3).to_pylist(), strict=True)):
