@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cosmetic, rules
 from ..functions import tables as T
+from .storage import stored
 
 
 def distinct_rules(lines: DataFrame) -> DataFrame:
@@ -36,11 +37,11 @@ def network_subsume(table: DataFrame, strict: bool = False) -> DataFrame:
     ends = F.when(F.lit(strict) & F.col("rule").endswith("/"), "/").otherwise("^")
     marked = table.withColumn("x", rules.simple_rule(F.col("rule"))).withColumn("host", F.col("x.host")).withColumn("lpath", rules.ascii_lower(F.col("x.path"))).withColumn("end", ends).drop("x")
     simple = (F.col("host").isNotNull()) & (F.col("host") != "")
-    first = marked.filter(simple).groupBy("host", "lpath", "end").agg(F.min(F.struct("ord_key", "rule")).alias("first"))
+    # stored: rules, their ancestors and the keys are read from it
+    first = stored(marked.filter(simple).groupBy("host", "lpath", "end").agg(F.min(F.struct("ord_key", "rule")).alias("first")))
     keys = first.select(F.col("host").alias("up"), F.col("lpath").alias("part"), F.col("end").alias("by"))
-    # both arrays once a rule, before rows multiply
-    arrays = first.select("host", "lpath", "end", rules.label_suffixes(F.col("host")).alias("ups"), rules.path_prefixes(F.col("lpath")).alias("parts"))
-    above = arrays.select("host", "lpath", "end", F.explode("ups").alias("up"), "parts").select("host", "lpath", "end", "up", F.explode("parts").alias("part"))
+    hosts = first.select("host", "lpath", "end", F.explode(rules.label_suffixes(F.col("host"))).alias("up"))
+    above = hosts.select("host", "lpath", "end", "up", F.explode(rules.path_prefixes(F.col("lpath"))).alias("part"))
     if strict:
         covers = above.join(keys, ["up", "part"]).filter("(up <> host or part <> lpath or by <> end) and (part <> lpath or by = '^' or by = end)")
     else:
