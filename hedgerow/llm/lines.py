@@ -2,6 +2,7 @@
 
 Of every ``run`` consecutive lines the one with the least hash is selected (the last of equals), so two equal runs of
 that many lines select the same line. Lines of ``words`` words or more are a run by themselves and always selected.
+With ``passages``, fewer than ``run`` lines that have so many words together are a run too, with a window minimum.
 Selected lines are joined on their hash; around those that recur, the runs that they stand for are extended before and
 after to full length and compared by a 128-bit hash; all occurrences but the first, by (doc_id, line), are deleted.
 Longer repeated stretches are the union of their runs. Only hashes and positions move, never pairs of a group.
@@ -42,19 +43,26 @@ def selected(hashes: list[bytes], run: int) -> dict[int, list[int]]:
     return out
 
 
-def runs_of(text: str, run: int, words: int) -> Iterator[tuple[bytes, bytes, int, int]]:
+def runs_of(text: str, run: int, words: int, passages: bool = True) -> Iterator[tuple[bytes, bytes, int, int]]:
     """(hash of a selected line, hash of a run that it stands for, the run's first line, lines) of a text."""
-    places, hashes = [], []
+    places, hashes, counts = [], [], []
     long: list[int] = []
     for i, line in enumerate(text.split("\n")):
         if line := line.strip(_MARGIN):
             raw = line.encode()
-            if len(raw) >= 2 * words - 1 and len(raw.split()) >= words:
-                long.append(len(hashes))
+            if passages or len(raw) >= 2 * words - 1:
+                counts.append(len(raw.split()))
+                if counts[-1] >= words:
+                    long.append(len(hashes))
             places.append(i)
             hashes.append(xxhash.xxh3_128_digest(raw))
     for i in long:
         yield hashes[i], hashes[i], places[i], places[i]
+    for n in range(2, run) if passages else ():
+        for i, starts in selected(hashes, n).items():
+            for s in starts:
+                if sum(counts[s : s + n]) >= words:
+                    yield hashes[i], xxhash.xxh3_128_digest(b"".join(hashes[s : s + n])), places[s], places[s + n - 1]
     for i, starts in selected(hashes, run).items():
         for s in starts:
             yield hashes[i], xxhash.xxh3_128_digest(b"".join(hashes[s : s + run])), places[s], places[s + run - 1]
@@ -64,14 +72,14 @@ def _row_key(df: DataFrame) -> Column:
     return F.xxhash64(F.lit(5), df[_TEXT])
 
 
-def repeated(docs: DataFrame, run: int, words: int) -> DataFrame:
+def repeated(docs: DataFrame, run: int, words: int, passages: bool = True) -> DataFrame:
     """``(doc_id, row, spans)``: the first and last lines of each run that has occurred before."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, _TEXT):
             at, rows = [], []
             for i, t in enumerate(b.column(2).to_pylist()):
-                for r in runs_of(t or "", run, words):
+                for r in runs_of(t or "", run, words, passages):
                     at.append(i)
                     rows.append(r)
             at = pa.array(at, pa.int64())
@@ -93,11 +101,11 @@ def repeated(docs: DataFrame, run: int, words: int) -> DataFrame:
     return later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS, text_col: str = "text", out: str = "kept") -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS, text_col: str = "text", out: str = "kept", passages: bool = True) -> DataFrame:
     """The rows of docs(doc_id, text, ...) with ``out`` (the lines that stay), n_lines and n_removed."""
     base = docs.withColumn(_TEXT, docs[text_col])
     base = base.withColumn(_ROW, _row_key(base))
-    spans = repeated(base, run, words).select(F.col("doc_id").alias("hedgerow_doc"), F.col("row").alias("hedgerow_other"), F.col("spans").alias("hedgerow_spans"))
+    spans = repeated(base, run, words, passages).select(F.col("doc_id").alias("hedgerow_doc"), F.col("row").alias("hedgerow_other"), F.col("spans").alias("hedgerow_spans"))
     joined = base.join(spans, base["doc_id"].eqNullSafe(spans["hedgerow_doc"]) & (base[_ROW] == spans["hedgerow_other"]), "left")
     keep = [c for c in docs.columns if c not in (out, "n_lines", "n_removed")]
     narrow = joined.select(*[joined[f"`{c}`"] for c in keep], _TEXT, "hedgerow_spans")
@@ -119,7 +127,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS, text_col: s
 
 
 def oracle_sql(run: int = RUN, words: int = WORDS) -> str:
-    """DuckDB SQL of the query, by window functions over all lines."""
+    """DuckDB SQL of the query, by window functions over all lines; it has no ``passages``."""
     lead = lambda i: f"lead(l, {i}) OVER w" if i else "l"
     return f"""
 WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),

@@ -55,3 +55,15 @@ def test_equal_runs_select_equal_lines():
         for s, i in picked.items():
             assert s <= i < s + run
             assert where.setdefault(tuple(hashes[s : s + run]), i - s) == i - s
+
+
+def test_passages_of_two_lines_between_differing_neighbours(spark):
+    import corpus_pipeline as p
+
+    part = lambda n, k: " ".join(f"{n}{i}" for i in range(k))
+    two, uneven, short = f"{part('a', 47)}\n{part('b', 38)}", f"{part('c', 60)}\n{part('d', 5)}", f"{part('e', 24)}\n{part('f', 25)}"
+    rows = [(d, f"before {d}\n{x}\nafter {d}") for i, x in enumerate((two, uneven, short)) for d in (2 * i, 2 * i + 1)]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = dict(rows) | {1: "before 1\nafter 1", 3: "before 3\nafter 3"}
+    assert {r.doc_id: r.text for r in p.repeated_lines_out(spark, docs, "").collect()} == want
+    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(docs, passages=False).collect() if r.n_removed} == {3: 1}
