@@ -1,9 +1,9 @@
-"""Operator 8: removes words in repeated windows, by level-wise doubling.
+"""Operator 8: removes words in repeated windows, by two levels of windows.
 
 The first level looks at windows of half the length. Of the half-windows inside each full window the one with the least
 hash stands for it, so equal windows are stood for by equal half-windows, and only one position in about ten is looked
 at. Where a half-window recurs, and there alone, the windows that it stands for are extended to the full length and
-compared again; ``longer`` carries on to twice that length, and so on, until no candidates survive.
+compared again: one step of doubling. ``longer`` makes a further one, to twice that length; no query calls it.
 
 Texts are taken once each, keyed by 95 bits of hash, with their number of copies: a text with copies is repeated as a
 whole. Positions and hashes move between levels, never pairs of a group; counts are pre-aggregated and joined back, so
