@@ -21,14 +21,14 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import slices
 
-#: Pre-tokenization of the byte-level family (fixed value of the public tokenizer).
+#: Pre-tokenization of the byte-level family (fixed value of the public tokenizer), which ``cut`` follows. Regular
+#: expression engines disagree on what \p{L}, \p{N} and \s hold, so the classes are the library's own.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ADJOINING = re.compile(r"\s\s")
+SPACE, BLANK, LETTER, NUMBER, OTHER, UNKNOWN = range(6)
 #: Pre-tokens that each generation of a worker's cache holds at most.
 CACHE = 300_000
 
@@ -62,8 +62,7 @@ class Codec:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[model["vocab"][a] * self.width + model["vocab"][b]] = rank
             self.merged.append(model["vocab"][a + b])
-        self.split_special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-        self.words = regex.compile(PATTERN)
+        self.split_special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -108,7 +107,7 @@ class Codec:
             if is_special:
                 out.append(self.special[part])
             else:
-                for w in self.words.findall(part):
+                for w in cut([part])[0].to_pylist():
                     out += self.merge(w.encode())
         return out
 
@@ -130,49 +129,75 @@ class Codec:
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """What the pattern tells apart, by code point: 0 space, 1 other white space, 2 letters, 3 numbers, 4 the rest."""
-    out = np.full(0x110000, 4, np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
-    for k, p in ((2, r"\p{L}+"), (3, r"\p{N}+"), (1, r"\s+")):
-        for m in regex.finditer(p, every):
-            out[points[m.start()] : points[m.end() - 1] + 1] = k
-    out[0x20] = 0
-    return out
-
-
-def cut(texts: list[str]) -> tuple[pa.StringArray, np.ndarray] | None:
-    """The pre-tokens of all texts in a row, and how many each text has; by array operations.
-
-    None where a text has an apostrophe (contractions) or adjoining white space: the pattern alone cuts such texts.
-    """
+def _classes() -> tuple[np.ndarray, Callable[[str], list]]:
+    """A table of what the pattern tells apart, by code point, to be filled as points are met; and the library's cutter."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    return np.full(0x110000, UNKNOWN, np.uint8), ByteLevel(add_prefix_space=False).pre_tokenize_str
+
+
+def classes(points: np.ndarray) -> np.ndarray:
+    """The class of each code point. The library itself tells: a character that stays with a letter is a letter."""
+    table, cutter = _classes()
+    kind = table[points]
+    if (kind == UNKNOWN).any():
+        new = np.unique(points[kind == UNKNOWN])
+        table[new] = BLANK
+        for k, before in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
+            at = [a for _, (a, b) in cutter("".join(f"{before}{chr(c)}\n" for c in new.tolist())) if b == a + 2 and not a % 3]
+            table[new[np.array(at, np.int64) // 3]] = k
+        table[0x20] = SPACE
+        kind = table[points]
+    return kind
+
+
+def cut(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """The pre-tokens of all texts in a row, and how many each text has; by array operations equal to ``PATTERN``."""
     joined = "".join(texts)
     data, points = joined.encode(), np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     n = len(points)
+    if not n:
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(lengths) - lengths
-    kind = _classes()[points]
-    first = np.zeros(n + 1, bool)
+    kind = classes(points)
+    first = np.zeros(n + 1, bool)  # of a text
     first[begin] = True
-    first = first[:n]
-    space = kind < 2
-    if n and ((space[1:] & space[:-1] & ~first[1:]).any() or (points == 0x27).any()):
-        return None
-    starts = space.copy()
-    starts[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
-    starts |= first
+    first[n] = True
+    blank = kind <= BLANK
+    starts = first[:n].copy()
+    # a run of white space gives its last character to what follows it in the text
+    starts[1:] |= blank[1:] & ~blank[:-1]
+    starts[:-1] |= blank[:-1] & ~blank[1:] & ~first[1:n]
+    # other runs begin where the class changes, unless a space before has begun them
+    starts[1:] |= ~blank[1:] & (kind[1:] != kind[:-1]) & (kind[:-1] != SPACE)
+    _contractions(points, starts, first)
     at = np.flatnonzero(starts)
     wide = (points >= 0x80).astype(np.uint8) + (points >= 0x800) + (points >= 0x10000)
     extra = np.cumsum(wide, dtype=np.int32)
     offsets = np.empty(len(at) + 1, np.int32)
-    offsets[:-1] = at + np.where(at > 0, extra[at - 1], 0) if n else 0
+    offsets[:-1] = at + np.where(at > 0, extra[at - 1], 0)
     offsets[-1] = len(data)
     tokens = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
     counts = np.diff(np.searchsorted(at, np.append(begin, n)))
     return tokens, counts
 
 
+def _contractions(points: np.ndarray, starts: np.ndarray, first: np.ndarray) -> None:
+    """Ends a pre-token that begins with an apostrophe where a contraction ends."""
+    n = len(points)
+    at = np.flatnonzero(starts & (points == 0x27))
+    one = np.where((at + 1 < n) & ~first[np.minimum(at + 1, n)], points[np.minimum(at + 1, n - 1)], 0)
+    two = np.where((one > 0) & (at + 2 < n) & ~first[np.minimum(at + 2, n)], points[np.minimum(at + 2, n - 1)], 0)
+    size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 1, 0)
+    for a, b in ("re", "ve", "ll"):
+        size[(one == ord(a)) & (two == ord(b))] = 2
+    at, size = at[size > 0], size[size > 0]
+    starts[at + 1] = False
+    end = at + size + 1
+    starts[end[end < n]] = True
+
+
 class Words:
     """The ids of texts; what recurring pre-tokens encode to is kept in a bounded cache.
 
@@ -180,8 +205,8 @@ class Words:
     cache becomes the old generation, whose entries come back when they are used again.
     """
 
-    def __init__(self, words: regex.Pattern, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.words, self.encode = words, encode
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
+        self.encode = encode
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -206,27 +231,14 @@ class Words:
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        odd = [k for k, t in enumerate(texts) if "'" in t or _ADJOINING.search(t)]
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
-        for k in odd:
-            ws = self.words.findall(texts[k])
-            of = dict(zip(own := list(dict.fromkeys(ws)), self.known(own), strict=True))
-            out[k] = np.frombuffer(b"".join(map(of.__getitem__, ws)), np.int32)
-        rest = sorted(set(range(len(texts))) - set(odd))
-        if not rest:
-            return out
-        tokens, counts = cut([texts[k] for k in rest]) or (None, None)
-        if tokens is None:
-            raise ValueError("white space or an apostrophe was overlooked")
+        tokens, counts = cut(texts)
         coded = tokens.dictionary_encode()
         values = self.known(coded.dictionary.to_pylist())
         ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // 4)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(values), np.int32)))
         taken = lists.take(coded.indices)
         ids, bounds = taken.flatten().to_numpy(), taken.offsets.to_numpy()[np.append(0, np.cumsum(counts))]
-        for i, k in enumerate(rest):
-            out[k] = ids[bounds[i] : bounds[i + 1]]
-        return out
+        return [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -255,7 +267,7 @@ def _mapped(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
-        cache = Words(c.words, lambda words: [array("i", c.merge(w.encode())).tobytes() for w in words])
+        cache = Words(lambda words: [array("i", c.merge(w.encode())).tobytes() for w in words])
         decimal, string = c.decimals.__getitem__, c.strings.__getitem__
         for b in slices(batches, "text"):
             n, ids, back = [], [], []

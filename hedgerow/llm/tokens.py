@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, Words, byte_alphabet, codec, regex, with_special
+from .bpe import Words, byte_alphabet, codec, with_special
 from .common import SLICE_BYTES, slices
 
 SCHEMA = "doc_id long, chunk int, offset long, n_tokens long, tokens array<int>"
@@ -54,7 +54,7 @@ def _encoder(vocabulary: str):  # noqa: ANN202
     def encode(words: list[str]) -> list[bytes]:
         return [array("i", [k.id for k in tokenize(w.encode().decode("latin-1").translate(printed))]).tobytes() for w in words]
 
-    c, cache = codec(vocabulary), Words(regex.compile(PATTERN), encode)
+    c, cache = codec(vocabulary), Words(encode)
     return lambda texts: with_special(c, cache, texts)
 
 

@@ -30,6 +30,43 @@ def test_whole_codec_equals_library(library):
         assert c.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_cut_equals_library_on_every_code_point(library):
+    """Every code point beside random neighbours, and contractions, white space and special strings among them."""
+    rng = np.random.default_rng(3)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    near = ["a", "1", "!", " ", "  ", "\n", "'s", "'", "'ll", "'re", "", "<|endoftext|>", "\u3000", "é", "²"]
+    pick = rng.integers(0, len(near), 2 * len(points))
+    shuffled = rng.permutation(len(points))
+    parts = [near[pick[2 * i]] + chr(points[j]) + near[pick[2 * i + 1]] for i, j in enumerate(shuffled)]
+    texts = ["".join(parts[i : i + 700]) for i in range(0, len(parts), 700)]
+    texts.append("".join(map(chr, [0x69, 0x2000, 0x3E608, 0x8298, 0xBD, 0x1680, 0x080B])) + ")")
+    cutter = library.pre_tokenizer.pre_tokenize_str
+    tokens, counts = bpe.cut(texts)
+    ends = np.cumsum(counts)
+    got = tokens.to_pylist()
+    for t, i, j in zip(texts, ends - counts, ends, strict=True):
+        assert got[i:j] == [t[a:b] for _, (a, b) in cutter(t)]
+    c = bpe.codec(vocabulary())
+    cache = bpe.Words(lambda ws: [np.array(c.merge(w.encode()), np.int32).tobytes() for w in ws])
+    own = tokens._encoder(vocabulary())
+    for i in range(0, len(texts), 1600):
+        part = texts[i : i + 100] + texts[-1:]
+        want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [x.tolist() for x in bpe.with_special(c, cache, part)] == want
+        assert [x.tolist() for x in own(part)] == want
+
+
+def test_cut_equals_library_on_random_texts(library):
+    """Short texts of awkward characters, a hundred thousand of them."""
+    rng = np.random.default_rng(5)
+    alphabet = list("ab'strevlmd ,.19\n\t\r\x0b\x1c\x85\xa0éßЖ中😀½²́\u2028\u3000\u1680\u200b\u080b") + ["'", " ", " "]
+    texts = ["".join(rng.choice(alphabet, int(n))) for n in rng.integers(0, 14, 100_000)]
+    cutter = library.pre_tokenizer.pre_tokenize_str
+    tokens, counts = bpe.cut(texts)
+    ends, got = np.cumsum(counts), tokens.to_pylist()
+    assert all(got[i:j] == [t[a:b] for _, (a, b) in cutter(t)] for t, i, j in zip(texts, ends - counts, ends, strict=True))
+
+
 def test_query_equals_library(spark, library):
     rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 1), (None, "null id", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
@@ -49,7 +86,7 @@ def test_bounded_cache(monkeypatch):
     c = bpe.codec(vocabulary())
     from array import array
 
-    cache = bpe.Words(c.words, lambda ws: [array("i", c.merge(w.encode())).tobytes() for w in ws])
+    cache = bpe.Words(lambda ws: [array("i", c.merge(w.encode())).tobytes() for w in ws])
     for i in range(30):
         texts = [f"word{i} and some words {i % 7}", "it's here", f"x{i} y z"]
         assert [x.tolist() for x in cache.texts(texts)] == [c.encode(t) for t in texts]
