@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import delete, made, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,9 +30,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     sums = lambda x: tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-    now = sums(edges)
+    spark, now = edges.sparkSession, sums(edges)
     while now[0]:
+        last = made(spark)[-1:]
         edges = written(_small(_large(edges)), "links")
+        delete(spark, last)
         before, now = now, sums(edges)
         if before == now:
             break

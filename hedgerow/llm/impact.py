@@ -1,123 +1,175 @@
 """Operator 2: exact top-k inner products by an impact-ordered index, score at a time.
 
-Components are quantised to integers. The index of a block of vectors holds, for each dimension, the vectors in order
-of their component: posting segments of one impact each. A query takes all dimensions' segments in descending order of
-their contribution and adds them to accumulators. What a vector can still gain is bounded by the next contribution in
-each dimension in which it hasn't been met. The pass stops only where that bound proves that few vectors can be among
-the best; all of these are rescored exactly, so the result is exact.
-
-Vectors are dealt into blocks, queries into blocks, and each pair of blocks is one task with bounded memory; only each
-task's best are merged.
-
-Defined results: see vectors.taking_part. Vectors meet queries of their own length only. Quantised components are
-expected below 2^24 in size, so that scores are exact in 64 bits. An empty table gives no rows; fewer candidates than k
-are all returned; other columns are ignored.
+Components are made integers and quantised to at most ``IMPACTS`` impacts a dimension (where a block's integers span
+fewer values, an impact is one integer). The index of a block holds for each dimension its posting segments: the vectors
+of one impact each, in order of impact. A query turns a segment into a contribution, its weight times the impact's
+upper end, and takes the segments of all dimensions in descending order of contribution, in rounds. A vector's
+accumulator bounds what it has got; each dimension in which it hasn't been met can add no more than the largest
+contribution that is left. The pass stops only where that bound proves that few vectors can be among the best; all of
+these are rescored exactly, so the result is exact.
+
+Vectors are dealt into blocks, each indexed once in one task with bounded memory. Queries alone are copied, one for each
+block, and stream past the index; only each block's best are merged.
+
+Defined results: see vectors.taking_part. Vectors meet queries of their own length only, of any length. Scores are exact
+integers; one that doesn't fit a long is returned as the nearest long, and ties with others that do so. An empty table
+gives no rows; fewer candidates than k are all returned; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .vectors import ranked, taking_part
+from .common import in_batches, written
+from .vectors import best, ranked, taking_part
 
-#: Vectors and queries of a task.
-BLOCK, QUERIES = 16_384, 512
-#: Contributions, in mean sizes of a component's contribution, at which the pass looks whether it can stop.
-LEVELS = (0.6, 0.15, 0.0, -0.25, -0.7)
-_FIRST = 64
+#: Components of a block: no more than the first; no fewer than the second only to give all cores a block.
+BLOCK, SMALL_BLOCK = 1 << 22, 1 << 18
+#: Impacts of a dimension.
+IMPACTS = 1024
+#: Contributions, in mean sizes of a query's contributions, at which a round ends.
+ROUNDS = (0.6, 0.15, 0.0, -0.25, -0.7)
+#: Vectors that are rescored first, to know a score that counts; hits that are held before they are merged.
+_FIRST, _HELD = 64, 50_000
+#: A product of Euclidean lengths below which every sum of products is exact in 64 bits.
+_EXACT = 2.0**62
 
 
 class Index:
-    """The posting segments of one block of integer vectors."""
+    """The posting segments of one block of integer vectors (rows of int64), in ascending order of id."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows
-        self.order = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)
-        self.values = np.take_along_axis(rows, self.order.T, axis=0).T.copy()
-        self.size = np.sqrt((rows.astype(np.float64) ** 2).mean(axis=0) + 1e-9)
+        span = max(int(rows.max(initial=0)) - int(rows.min(initial=0)), 0)
+        self.shift = max(span.bit_length() - IMPACTS.bit_length() + 1, 0)
+        impact = rows >> self.shift
+        self.order = np.argsort(impact, axis=0, kind="stable").T.astype(np.int32)
+        self.low = np.ascontiguousarray(np.take_along_axis(impact, self.order.T, axis=0).T) << self.shift
+        self.first = [np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64) for x in self.low]
+        self.width = (1 << self.shift) - 1  # from an impact's lower to its upper end
+        self.norm = float(np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
+        self.size = np.sqrt((rows.astype(np.float64) ** 2).mean(axis=0)) if len(rows) else np.zeros(rows.shape[1])
 
     def search(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best vectors but the query's own."""
-        n, dims = self.rows.shape
-        packed = np.zeros(n, np.int64)  # 2^12 times the sum so far, plus the number of dimensions met
-        unit = float(np.sqrt(((q * self.size) ** 2).mean())) or 1.0
-        done_to = np.where(q > 0, n, 0)  # segments from the end for q > 0, from the start for q < 0
-        used = [d for d in range(dims) if q[d]]
-        exact_at, exact, least = np.zeros(0, np.int64), np.zeros(0, np.int64), -(1 << 62)
-        for level in (*LEVELS, None):
-            theta = None if level is None else level * unit
+        n = len(self.ids)
+        if (self.norm + self.width * np.sqrt(len(q))) * float(np.sqrt((q.astype(np.float64) ** 2).sum())) >= _EXACT:
+            return self._large(qid, q, k)
+        total, met = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        unit = float(np.sqrt(((q * self.size) ** 2).mean())) if len(q) else 0.0
+        used = np.flatnonzero(q).tolist()
+        done = {d: n if q[d] > 0 else 0 for d in used}  # postings from the end for q > 0, from the start for q < 0
+        exact_at, least = np.zeros(0, np.int64), None
+        may = np.arange(n)
+        for theta in [r * unit for r in ROUNDS]:
             for d in used:
-                values, end = self.values[d], done_to[d]
-                if q[d] > 0:
-                    cut = 0 if theta is None else int(values.searchsorted(theta / q[d], "left"))
-                    part = slice(cut, end)
-                    done_to[d] = min(cut, end)
+                first, end, weight = self.first[d], done[d], int(q[d])
+                # segments whose contribution is theta at least, beyond those taken
+                gain = (self.low[d][first] + (self.width if weight > 0 else 0)) * weight
+                if weight > 0:
+                    at = int(np.searchsorted(gain, theta, "left"))
+                    start = int(first[at]) if at < len(first) else n
+                    part, done[d] = slice(start, end), min(start, end)
                 else:
-                    cut = n if theta is None else int(values.searchsorted(theta / q[d], "right"))
-                    part = slice(end, cut)
-                    done_to[d] = max(cut, end)
+                    at = int(np.searchsorted(-gain, -theta, "right"))
+                    stop = int(first[at]) if at < len(first) else n
+                    part, done[d] = slice(end, stop), max(stop, end)
                 if part.start < part.stop:
-                    packed[self.order[d, part]] += values[part].astype(np.int64) * (int(q[d]) << 12) + 1
-            total, met = packed >> 12, packed & 4095
-            if theta is None:
-                may = np.arange(n)
-                break
-            if not len(exact_at):  # a first guess of the least score that counts
-                exact_at = np.argpartition(-total, min(_FIRST, n - 1))[:_FIRST]
-                exact = self.rows[exact_at].astype(np.int64) @ q
-                others = exact[self.ids[exact_at] != qid]
-                if len(others) >= k:
-                    least = int(np.partition(others, len(others) - k)[len(others) - k])
-            may = np.flatnonzero(total + (len(used) - met) * np.ceil(theta) >= least)
+                    where = self.order[d, part]
+                    total[where] += (self.low[d, part] + (self.width if weight > 0 else 0)) * weight
+                    met[where] += 1
+            if least is None:  # a first guess of the least score that counts
+                exact_at = np.argpartition(-total, min(_FIRST, n) - 1)[:_FIRST] if n else exact_at
+                others = (self.rows[exact_at] @ q)[self.ids[exact_at] != qid]
+                if len(others) < k:
+                    break  # few vectors at all
+                least = int(np.partition(others, len(others) - k)[len(others) - k])
+            bound = total.astype(np.float64) + (len(used) - met) * float(theta)
+            slack = 1 + 2.0**-48 * (abs(least) + float(np.abs(bound).max()) + len(used) * abs(theta))
+            may = np.flatnonzero(bound >= least - slack)
             if len(may) * 16 <= n:
                 break
         may = may[self.ids[may] != qid]
-        scores = self.rows[may].astype(np.int64) @ q
+        scores = self.rows[may] @ q
         if len(may) > 8 * k:
             near = np.partition(scores, len(scores) - k)[len(scores) - k]
             may, scores = may[scores >= near], scores[scores >= near]
         order = np.lexsort((self.ids[may], -scores))[:k]
         return self.ids[may][order], scores[order]
 
+    def _large(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As search(), with integers of any size: every vector is rescored."""
+        scores = self.rows.astype(object) @ q.astype(object)
+        end = (1 << 63) - 1
+        found = sorted((-max(min(int(s), end), -end - 1), int(i)) for i, s in zip(self.ids, scores, strict=True) if i != qid)[:k]
+        return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], np.int64)
+
 
-def _matrix(t: pa.Table) -> np.ndarray:
-    col = t.column("vec").combine_chunks()
+def _matrix(col: pa.ListArray) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The best hits of a partition's rows (dims, block, asks, vec_id, vec), sorted by these: a block's vectors come
+    first, then its queries."""
+    at: tuple | None = None
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    index: Index | None = None
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in best(*[np.concatenate(x) for x in zip(*hits, strict=True)], k)], ["query_id", "vec_id", "score"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        dims, block, asks, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        cuts = np.flatnonzero((dims[1:] != dims[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            rows = _matrix(b.column(4).slice(i, j - i))
+            if at != (dims[i], block[i]):
+                at, waiting, index = (dims[i], block[i]), [], None
+            if not asks[i]:
+                waiting.append((ids[i:j], rows))
+                continue
+            if not waiting:
+                continue
+            if index is None:
+                every = np.concatenate([w[0] for w in waiting])
+                order = np.argsort(every, kind="stable")
+                index = Index(every[order], np.concatenate([w[1] for w in waiting])[order])
+                waiting = waiting[:1]
+            for qid, q in zip(ids[i:j].tolist(), rows, strict=True):
+                found, scores = index.search(qid, q, k)
+                hits.append((np.full(len(found), qid), found, scores))
+                held += len(found)
+            if held > _HELD:
+                yield out()
+                hits, held = [], 0
+    if held:
+        yield out()
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each vector with ``is_query`` (on vec_id) the k highest integer inner
     products with other vectors, ties to the smaller id."""
+    spark = vectors.sparkSession
     part = taking_part(vectors).select("vec_id", F.transform("vec", lambda v: F.floor(v.cast("double") * scale)).alias("vec"))
     part = written(part.withColumn("dims", F.size("vec")), "integer-vectors")
-    queries = part.filter(is_query)
-    blocks, parts = -(-part.count() // BLOCK), -(-queries.count() // QUERIES)
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(max(n, 1)))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
-    left = part.withColumn("block", deal(blocks)).withColumn("part", each(parts))
-    right = queries.withColumn("part", deal(parts)).withColumn("block", each(blocks))
-    keys = ("dims", "block", "part")
-
-    def run(vecs: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if len(vecs) and len(asked):
-            order = np.argsort(vecs.column("vec_id").to_numpy(), kind="stable")
-            index = Index(vecs.column("vec_id").to_numpy()[order], _matrix(vecs)[order].astype(np.int32))
-            for qid, q in zip(asked.column("vec_id").to_pylist(), _matrix(asked).astype(np.int64), strict=True):
-                ids, scores = index.search(qid, q, k)
-                out[0].append(np.full(len(ids), qid))
-                out[1].append(ids)
-                out[2].append(scores)
-        return pa.table([pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
-
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
-    return ranked(hits, k)
-
+    size = part.agg(F.sum("dims")).first()[0] or 0
+    blocks = max(-(-size // BLOCK), min(-(-size // SMALL_BLOCK), 2 * spark.sparkContext.defaultParallelism), 1)
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    columns = lambda rows, at, asks: rows.select("dims", at.alias("block"), F.lit(asks).alias("asks"), "vec_id", "vec")
+    dealt = columns(part, block, False).union(columns(part.filter(is_query), every, True))
+    dealt = dealt.repartition(4 * blocks, "dims", "block").sortWithinPartitions("dims", "block", "asks")
+    return ranked(in_batches(dealt, lambda it: _search(it, k), "query_id long, vec_id long, score long"), k)
 
 
 ORACLE_SQL = """

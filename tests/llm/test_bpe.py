@@ -41,9 +41,9 @@ def test_cut_equals_library_on_every_code_point(library):
     texts = ["".join(parts[i : i + 700]) for i in range(0, len(parts), 700)]
     texts.append("".join(map(chr, [0x69, 0x2000, 0x3E608, 0x8298, 0xBD, 0x1680, 0x080B])) + ")")
     cutter = library.pre_tokenizer.pre_tokenize_str
-    tokens, counts = bpe.cut(texts)
+    words, counts = bpe.cut(texts)
     ends = np.cumsum(counts)
-    got = tokens.to_pylist()
+    got = words.to_pylist()
     for t, i, j in zip(texts, ends - counts, ends, strict=True):
         assert got[i:j] == [t[a:b] for _, (a, b) in cutter(t)]
     c = bpe.codec(vocabulary())
@@ -62,8 +62,8 @@ def test_cut_equals_library_on_random_texts(library):
     alphabet = list("ab'strevlmd ,.19\n\t\r\x0b\x1c\x85\xa0éßЖ中😀½²́\u2028\u3000\u1680\u200b\u080b") + ["'", " ", " "]
     texts = ["".join(rng.choice(alphabet, int(n))) for n in rng.integers(0, 14, 100_000)]
     cutter = library.pre_tokenizer.pre_tokenize_str
-    tokens, counts = bpe.cut(texts)
-    ends, got = np.cumsum(counts), tokens.to_pylist()
+    words, counts = bpe.cut(texts)
+    ends, got = np.cumsum(counts), words.to_pylist()
     assert all(got[i:j] == [t[a:b] for _, (a, b) in cutter(t)] for t, i, j in zip(texts, ends - counts, ends, strict=True))
 
 

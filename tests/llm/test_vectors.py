@@ -27,10 +27,10 @@ def odd_rows():
     return [(10_000, None), (10_050, [None] * 8), (10_100, [float("nan")] * 8), (10_150, [float("inf")] * 8), (10_200, []), (10_250, [1.0, 0.5])]
 
 
-@pytest.mark.parametrize(("block", "queries"), [(16_384, 512), (40, 3)])
-def test_top_k_is_exact(spark, monkeypatch, block, queries):
+@pytest.mark.parametrize(("block", "impacts"), [(1 << 22, 1024), (320, 8)])
+def test_top_k_is_exact(spark, monkeypatch, block, impacts):
     monkeypatch.setattr(impact, "BLOCK", block)
-    monkeypatch.setattr(impact, "QUERIES", queries)
+    monkeypatch.setattr(impact, "IMPACTS", impacts)
     rng = np.random.default_rng(0)
     x = unit(rng, 300, 8)
     x[100:140] = x[50]  # ties
@@ -53,7 +53,7 @@ def test_top_k_small(spark):
 def test_index_on_signed_and_sparse_vectors():
     rng = np.random.default_rng(4)
     for n, d in ((1, 3), (70, 3), (900, 16)):
-        rows = rng.integers(-90, 90, (n, d)).astype(np.int32)
+        rows = rng.integers(-90, 90, (n, d))
         rows[:, 0] = 0
         index = impact.Index(np.arange(n) * 2, rows)
         for q in (rows[0], -rows[n // 2], np.zeros(d, np.int32)):
@@ -62,6 +62,34 @@ def test_index_on_signed_and_sparse_vectors():
             assert [(-int(s), int(i)) for i, s in zip(ids, scores, strict=True)] == want
 
 
+@pytest.mark.parametrize(("bits", "dims", "n"), [(24, 512, 300), (24, 5000, 60), (7, 5000, 200), (40, 64, 200), (61, 8, 100), (20, 16, 3000)])
+def test_index_on_large_and_wide_vectors(bits, dims, n):
+    rng = np.random.default_rng(bits)
+    rows = rng.integers(-(1 << bits), 1 << bits, (n, dims))
+    rows[5] = rows[6]
+    index = impact.Index(np.arange(n), rows)
+    end = (1 << 63) - 1
+    for i in range(0, 40, 2):
+        ids, scores = index.search(i, rows[i], 5)
+        exact = rows.astype(object) @ rows[i].astype(object)
+        want = sorted((-max(min(int(x), end), -end - 1), j) for j, x in enumerate(exact) if j != i)[:5]
+        assert [(-int(s), int(j)) for j, s in zip(ids, scores, strict=True)] == want
+
+
+def test_top_k_of_huge_components(spark):
+    """Scores beyond a long become the nearest long; nothing wraps."""
+    df = frame(spark, [0, 1, 2, 3], [[3e30, 1.0], [1e30, 0.5], [-2e30, 0.5], [0.0, 0.5]])
+    got = [(r.vec_id, r.score) for r in impact.top_k(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
+    assert got == [(1, (1 << 63) - 1), (3, 256 * 128), (2, -(1 << 63))]
+
+
+def test_only_queries_are_copied(spark):
+    """Shuffled rows: each vector once, each query once a block."""
+    x = unit(np.random.default_rng(9), 400, 4)
+    plan = impact.top_k(frame(spark, range(400), x), F.col("vec_id") % 50 == 0, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Join" not in plan
+
+
 @pytest.mark.parametrize("part", [8192, 16])
 def test_neighbours(spark, monkeypatch, part):
     monkeypatch.setattr(ann, "PART", part)
