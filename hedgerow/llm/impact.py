@@ -29,7 +29,7 @@ from .common import in_batches, written
 from .vectors import best, ranked, taking_part
 
 #: Components of a block: no more than the first; no fewer than the second only to give all cores a block.
-BLOCK, SMALL_BLOCK = 1 << 22, 1 << 18
+BLOCK, SMALL_BLOCK = 1 << 22, 1 << 19
 #: Impacts of a dimension.
 IMPACTS = 1024
 #: Contributions, in mean sizes of a query's contributions, at which a round ends.
@@ -47,51 +47,63 @@ class Index:
         self.ids, self.rows = ids, rows
         span = max(int(rows.max(initial=0)) - int(rows.min(initial=0)), 0)
         self.shift = max(span.bit_length() - IMPACTS.bit_length() + 1, 0)
-        impact = rows >> self.shift
-        self.order = np.argsort(impact, axis=0, kind="stable").T.astype(np.int32)
-        self.low = np.ascontiguousarray(np.take_along_axis(impact, self.order.T, axis=0).T) << self.shift
-        self.first = [np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64) for x in self.low]
         self.width = (1 << self.shift) - 1  # from an impact's lower to its upper end
-        self.norm = float(np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
-        self.size = np.sqrt((rows.astype(np.float64) ** 2).mean(axis=0)) if len(rows) else np.zeros(rows.shape[1])
+        impact = rows >> self.shift
+        n, dims = rows.shape
+        self.order = np.ascontiguousarray(np.argsort(impact, axis=0, kind="stable").T)
+        low = np.take_along_axis(impact, self.order.T, axis=0).T << self.shift
+        self.low = np.ascontiguousarray(low.astype(np.float64))
+        # segments of all dimensions in a row: lower end, dimension, first posting; and each dimension's first segment
+        first = np.ones(low.shape, bool)
+        first[:, 1:] = low[:, 1:] != low[:, :-1]
+        self.seg_dim, self.seg_at = np.nonzero(first)
+        self.seg_low = self.low[self.seg_dim, self.seg_at]
+        self.dim_first = np.searchsorted(self.seg_dim, np.arange(dims))
+        self.dim_segs = np.bincount(self.seg_dim, minlength=dims)
+        length = np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
+        self.norm = float(length.max(initial=0)) + self.width * float(np.sqrt(dims))
+        self.size = np.sqrt((rows.astype(np.float64) ** 2).mean(axis=0)) if n else np.zeros(dims)
 
     def search(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best vectors but the query's own."""
-        n = len(self.ids)
-        if (self.norm + self.width * np.sqrt(len(q))) * float(np.sqrt((q.astype(np.float64) ** 2).sum())) >= _EXACT:
+        n, weight = len(self.ids), q.astype(np.float64)
+        if self.norm * float(np.sqrt((weight**2).sum())) >= _EXACT:
             return self._large(qid, q, k)
-        total, met = np.zeros(n, np.int64), np.zeros(n, np.int32)
-        unit = float(np.sqrt(((q * self.size) ** 2).mean())) if len(q) else 0.0
-        used = np.flatnonzero(q).tolist()
-        done = {d: n if q[d] > 0 else 0 for d in used}  # postings from the end for q > 0, from the start for q < 0
-        exact_at, least = np.zeros(0, np.int64), None
-        may = np.arange(n)
+        up, used = weight > 0, weight != 0
+        # what a vector in each segment can get at most; descending contributions begin at a dimension's end if q > 0
+        gain = (self.seg_low + self.width * up[self.seg_dim]) * weight[self.seg_dim]
+        total, met, taken = np.zeros(n), np.zeros(n, np.int64), np.zeros(len(q), np.int64)
+        unit = float(np.sqrt(((weight * self.size) ** 2).mean())) if len(q) else 0.0
+        flat_order, flat_low = self.order.reshape(-1), self.low.reshape(-1)
+        least, may, dims = None, np.arange(n), int(used.sum())
         for theta in [r * unit for r in ROUNDS]:
-            for d in used:
-                first, end, weight = self.first[d], done[d], int(q[d])
-                # segments whose contribution is theta at least, beyond those taken
-                gain = (self.low[d][first] + (self.width if weight > 0 else 0)) * weight
-                if weight > 0:
-                    at = int(np.searchsorted(gain, theta, "left"))
-                    start = int(first[at]) if at < len(first) else n
-                    part, done[d] = slice(start, end), min(start, end)
-                else:
-                    at = int(np.searchsorted(-gain, -theta, "right"))
-                    stop = int(first[at]) if at < len(first) else n
-                    part, done[d] = slice(end, stop), max(stop, end)
-                if part.start < part.stop:
-                    where = self.order[d, part]
-                    total[where] += (self.low[d, part] + (self.width if weight > 0 else 0)) * weight
-                    met[where] += 1
+            segs = np.add.reduceat((gain >= theta).astype(np.int64), self.dim_first) * used if n else taken
+            edge = self.dim_first + np.where(up, self.dim_segs - segs, segs)
+            inside = np.where(up, segs > 0, segs < self.dim_segs)
+            bound = np.where(inside, self.seg_at[np.minimum(edge, len(self.seg_at) - 1)], n) if n else taken
+            have = np.where(up, n - bound, bound) * used  # postings of each dimension
+            new = np.flatnonzero(have > taken)
+            if len(new):
+                start = new * n + np.where(up, n - have, taken)[new]
+                sizes = (have - taken)[new]
+                taken = have
+                parts = [slice(i, j) for i, j in zip(start.tolist(), (start + sizes).tolist(), strict=True)]
+                where = np.concatenate([flat_order[part] for part in parts])
+                got = np.concatenate([flat_low[part] for part in parts])
+                if self.width:
+                    got += np.repeat(self.width * up[new], sizes)
+                got *= np.repeat(weight[new], sizes)
+                total += np.bincount(where, got, n)
+                met += np.bincount(where, minlength=n)
             if least is None:  # a first guess of the least score that counts
-                exact_at = np.argpartition(-total, min(_FIRST, n) - 1)[:_FIRST] if n else exact_at
-                others = (self.rows[exact_at] @ q)[self.ids[exact_at] != qid]
+                near = np.argpartition(-total, min(_FIRST, n) - 1)[:_FIRST] if n else np.zeros(0, np.int64)
+                others = (self.rows[near] @ q)[self.ids[near] != qid]
                 if len(others) < k:
                     break  # few vectors at all
                 least = int(np.partition(others, len(others) - k)[len(others) - k])
-            bound = total.astype(np.float64) + (len(used) - met) * float(theta)
-            slack = 1 + 2.0**-48 * (abs(least) + float(np.abs(bound).max()) + len(used) * abs(theta))
-            may = np.flatnonzero(bound >= least - slack)
+            most = total + (dims - met) * theta
+            slack = 1 + 2.0**-45 * (abs(least) + float(np.abs(total).max()) + dims * (abs(theta) + float(np.abs(gain).max())))
+            may = np.flatnonzero(most >= least - slack)
             if len(may) * 16 <= n:
                 break
         may = may[self.ids[may] != qid]
@@ -163,7 +175,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256) -> Dat
     part = taking_part(vectors).select("vec_id", F.transform("vec", lambda v: F.floor(v.cast("double") * scale)).alias("vec"))
     part = written(part.withColumn("dims", F.size("vec")), "integer-vectors")
     size = part.agg(F.sum("dims")).first()[0] or 0
-    blocks = max(-(-size // BLOCK), min(-(-size // SMALL_BLOCK), 2 * spark.sparkContext.defaultParallelism), 1)
+    blocks = max(-(-size // BLOCK), min(-(-size // SMALL_BLOCK), spark.sparkContext.defaultParallelism), 1)
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     columns = lambda rows, at, asks: rows.select("dims", at.alias("block"), F.lit(asks).alias("asks"), "vec_id", "vec")
