@@ -70,3 +70,20 @@ def test_context_adjusts_the_score(spark):
 
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_spans_in_a_long_text(spark):
+    """Far more matches than a chunk holds, with others in between; positions and contexts hold at every chunk's edge."""
+    rng = random.Random(8)
+    parts = ["mail a@b.co", "x@y.zz", " 12 34 ", "ip 1.2.3.4", "300.1.1.1", "4111111111111111", "call +1 234 567 890", "SSN 123-45-6789", "123-45-6789", " word ", "é😀", ". "]
+    texts = [" ".join(rng.choice(parts) for _ in range(n)) for n in (15, 16, 17, 33, 700, 6000)]
+    rows = check(spark, texts)
+    for i, t in enumerate(texts):
+        want = [(m.start(), m.end()) for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", t)]
+        want = [f"ssn:{a}:{b}" for a, b in want if re.search(r"(?:^|\W)ssn", t[max(a - 40, 0) : a] + " " + t[b : b + 40], re.I)]
+        assert [s for s in rows[i].spans.split(",") if s.startswith("ssn")] == want
+        near = lambda a, b: t[max(a - 40, 0) : a] + " " + t[b : b + 40]
+        for s, score in zip(rows[i].spans.split(","), rows[i].scores.split(","), strict=True):
+            if s.startswith("ip"):
+                a, b = map(int, s.split(":")[1:])
+                assert int(score) == 60 + 30 * bool(re.search(r"(?:^|[^A-Za-z0-9_])(?:ip|address|host|server)(?:$|[^A-Za-z0-9_])", near(a, b), re.I))
