@@ -5,11 +5,12 @@ has a linear weight and a vector of ``FACTORS``. The score is the logistic of bi
 of terms of the inner product of their vectors, so a pair such as an insult and a group mention counts beyond what
 either does alone. All terms of a whole text count, once each.
 
-Learning: at most ``SAMPLE`` labelled rows of each class, those whose ids hash lowest (the same at every run), and of
-each of those all terms. The sample's terms are gathered at the driver; its bound is SAMPLE rows of each class, and at
-most ``TERMS`` distinct terms a text, the lowest by hash, in learning alone. Scoring runs over all texts with the model
-sent along, whose size is bounded by KEPT terms. A term is kept if its document frequencies in the classes differ by
-``SIGMAS`` standard errors, so that the many words of long texts don't add up by chance.
+Learning: at most ``SAMPLE`` labelled rows of each class, in the order of a hash of their ids (the same at every run),
+and no more of them than have ``SAMPLE_TERMS`` distinct terms in all; of each row all terms. That bounds what the driver
+gathers (4 bytes a term) and learns from (about 40 bytes a term at its peak, 320 MB in all). Scoring runs over all texts
+with the model sent along, 48 bytes for each kept term. A term is kept if its document frequencies in the classes differ
+by ``SIGMAS`` standard errors, so that the many words of long texts don't add up by chance; and if its co-occurrence
+with another frequent term does, beyond what their own frequencies explain, so that pairs of ordinary words are learnt.
 
 Defined results: null and empty texts have no terms and score the logistic of the bias. Rows with a null label teach
 nothing; of several labels for one document each teaches. Without labels of both classes every text scores the share
@@ -25,20 +26,22 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import slices
+from .common import in_batches, slices, written
 
 FACTORS = 4
-#: Standard errors by which a kept term's frequencies differ, and the most terms that are kept (those that differ most).
-SIGMAS, KEPT = 5.0, 20_000
-#: Labelled rows of each class that the model learns from, and terms of each of them.
-SAMPLE, TERMS = 6000, 4000
+#: Standard errors by which a kept term's, or pair's, frequencies differ; share of rows that a term of such a pair is in.
+SIGMAS, FREQUENT = 5.0, 0.05
+#: Share of texts by which a pair's excess differs at least: groups of copies make small differences sure, not useful.
+EXCESS = 0.1
+#: Labelled rows of each class that the model learns from, and terms that they have together.
+SAMPLE, SAMPLE_TERMS = 6000, 4_000_000
 EPOCHS, RATE, LINEAR_DECAY, FACTOR_DECAY, BATCH = 12, 0.2, 1e-5, 1e-4, 64
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
-_SCHEMA_TERMS = "doc_id long, y int, terms array<long>"
+_SCHEMA_TERMS = "doc_id long, y int, n long, terms binary"
 
 
 class Model(NamedTuple):
@@ -76,10 +79,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [terms_of(t)[:TERMS] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "y", "terms"])
+            found = [terms_of(t).astype("<u4") for t in b.column(1).to_pylist()]
+            n = pa.array([len(x) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), n, pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "y", "n", "terms"])
 
-    return texts.mapInArrow(terms, _SCHEMA_TERMS)
+    rows = written(in_batches(texts, terms, _SCHEMA_TERMS), "labelled-terms").withColumn("hash", F.xxhash64("terms"))
+    # the sample's ids alone meet in a task, once for each class
+    so_far = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "hash").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.select("doc_id", "y", "hash", "n").withColumn("sum", F.sum("n").over(so_far)).filter(F.col("sum") <= SAMPLE_TERMS)
+    return rows.join(within.select("doc_id", "y", "hash").distinct(), ["doc_id", "y", "hash"], "left_semi").drop("hash")
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -90,25 +98,60 @@ def _sums(bias: float, w: np.ndarray, v: np.ndarray, flat: np.ndarray, ends: np.
     """(logit, sum of factors) of runs of places that end at ``ends``."""
     at = np.concatenate([[0], ends[:-1]])
     full = (ends > at)[:, None]
-    pad = np.concatenate([flat, [0]]).astype(np.int64)
-    rows = v[pad] if len(v) else np.zeros((len(pad), FACTORS))
-    linear = np.add.reduceat(w[pad] if len(w) else np.zeros(len(pad)), at) * full[:, 0]
+    # one zero more, so that runs at the end may be empty
+    rows = np.concatenate([v[flat] if len(v) else np.zeros((len(flat), FACTORS)), np.zeros((1, FACTORS))])
+    linear = np.add.reduceat(np.append(w[flat] if len(w) else np.zeros(len(flat)), 0.0), at) * full[:, 0]
     first = np.add.reduceat(rows, at, axis=0) * full
     second = np.add.reduceat((rows * rows).sum(axis=1), at) * full[:, 0]
     return bias + linear + 0.5 * ((first * first).sum(axis=1) - second), first
 
 
-def distinctive(terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The terms whose shares of the two classes' texts differ by SIGMAS standard errors, ascending."""
+def _slopes(v: np.ndarray, flat: np.ndarray, lengths: np.ndarray, first: np.ndarray, loss: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, slopes of their weights, slopes of their factors), where ``loss`` is the slope of each run's logit."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    u, inv = np.unique(flat, return_inverse=True)
+    dw = np.bincount(inv, loss[row], len(u))
+    return u, dw, np.stack([np.bincount(inv, loss[row] * (first[row, k] - v[flat, k]), len(u)) for k in range(FACTORS)], axis=1)
+
+
+def _shares(terms: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, share of label 1's texts, share of label 0's) of all terms, ascending."""
     every, at = np.unique(np.concatenate(terms), return_inverse=True)
     label = np.repeat(y, [len(t) for t in terms])
+    return every, np.bincount(at, label, len(every)) / y.sum(), np.bincount(at, 1 - label, len(every)) / (len(y) - y.sum())
+
+
+def distinctive(terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The terms whose shares of the two classes' texts differ by SIGMAS standard errors, ascending."""
+    every, p1, p0 = _shares(terms, y)
+    n1, n0 = y.sum(), len(y) - y.sum()
+    p = (p1 * n1 + p0 * n0) / (n1 + n0)
+    z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    return every[z >= SIGMAS]
+
+
+def interacting(terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The frequent terms of which two together tell the classes apart: the excess of their joint share over the product
+    of their own shares differs between the classes by SIGMAS standard errors and by EXCESS. Ascending."""
+    every, p1, p0 = _shares(terms, y)
     n1, n0 = y.sum(), len(y) - y.sum()
-    c1 = np.bincount(at, label, len(every))
-    c0 = np.bincount(at, 1 - label, len(every))
-    p = (c1 + c0) / (n1 + n0)
-    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    best = np.argsort(-z, kind="stable")[:KEPT]
-    return np.sort(every[best[z[best] >= SIGMAS]])
+    often = (p1 * n1 + p0 * n0) / (n1 + n0) >= FREQUENT
+    every, m = every[often], int(often.sum())
+    if not m:
+        return every
+    excess, variance = [], 0.0
+    for label, p, n in ((1, p1[often], n1), (0, p0[often], n0)):
+        rows, joint = np.flatnonzero(y == label), np.zeros((m, m))
+        for i in range(0, len(rows), 1000):
+            x = np.zeros((min(1000, len(rows) - i), m), np.float32)
+            for r, t in enumerate(rows[i : i + 1000].tolist()):
+                x[r, kept_places(every, terms[t])] = 1
+            joint += x.T @ x
+        excess.append(joint / n - np.outer(p, p))
+        variance = variance + np.outer(p * (1 - p), p * (1 - p)) / n
+    z = np.abs(excess[0] - excess[1]) / np.sqrt(np.maximum(variance, 1e-12))
+    np.fill_diagonal(z, 0)
+    return every[((z >= SIGMAS) & (np.abs(excess[0] - excess[1]) >= EXCESS)).any(axis=1)]
 
 
 def fit(terms: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model:
@@ -116,7 +159,7 @@ def fit(terms: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model:
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
         return Model(float(np.log(share / (1 - share))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    kept = distinctive(terms, y)
+    kept = np.union1d(distinctive(terms, y), interacting(terms, y))
     terms = [kept_places(kept, t) for t in terms]
     rng, n = np.random.default_rng(seed), len(kept)
     w, v = np.zeros(n), rng.normal(0, 0.05, (n, FACTORS))
@@ -130,11 +173,8 @@ def fit(terms: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model:
             lengths = np.array([len(terms[r]) for r in rows])
             z, first = _sums(bias, w, v, flat, np.cumsum(lengths))
             loss = (_sigmoid(z) - y[rows]) * weight[rows] / len(rows)
-            row = np.repeat(np.arange(len(rows)), lengths)
-            u, inv = np.unique(flat, return_inverse=True)
-            dw = np.bincount(inv, loss[row], len(u)) + LINEAR_DECAY * w[u]
-            dv = np.stack([np.bincount(inv, loss[row] * (first[row, k] - v[flat, k]), len(u)) for k in range(FACTORS)], axis=1) + FACTOR_DECAY * v[u]
-            db = loss.sum()
+            u, dw, dv = _slopes(v, flat, lengths, first, loss)
+            dw, dv, db = dw + LINEAR_DECAY * w[u], dv + FACTOR_DECAY * v[u], loss.sum()
             gb += db * db
             gw[u] += dw * dw
             gv[u] += dv * dv
@@ -146,10 +186,8 @@ def fit(terms: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """The model of a bounded sample of the labelled rows that aren't held out."""
-    rows = sample(docs, labels, label).toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    lists = rows["terms"].combine_chunks()
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
-    return fit([flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], rows["y"].to_numpy().astype(np.float64))
+    rows = sample(docs, labels, label).toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("n", "ascending"), ("terms", "ascending")])
+    return fit([np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in rows["terms"]], rows["y"].to_numpy().astype(np.float64))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -165,4 +203,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             z = _sums(model.bias, model.weights, model.factors, np.concatenate(found), np.cumsum([len(x) for x in found]))[0]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_sigmoid(z), pa.float64())], schema.names)
 
-    return narrow.mapInArrow(run, schema)
+    return in_batches(narrow, run, schema)

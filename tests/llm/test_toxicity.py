@@ -63,3 +63,48 @@ def test_one_class_and_empty(spark):
         scores = {round(r.score, 4) for r in toxicity.scored(docs, toxicity.learn(docs, x)).collect()}
         assert scores == {share}
     assert toxicity.scored(docs.limit(0), toxicity.learn(docs.limit(0), labels)).collect() == []
+
+
+def test_sums_and_slopes_equal_a_naive_machine():
+    rng = np.random.default_rng(3)
+    w, v = rng.normal(size=9), rng.normal(size=(9, toxicity.FACTORS))
+    runs = [np.sort(rng.choice(9, n, replace=False)) for n in (0, 1, 4, 9, 2)]
+    flat, lengths = np.concatenate(runs), np.array([len(r) for r in runs])
+    naive = lambda w, v: np.array([0.3 + sum(w[i] for i in r) + sum(v[i] @ v[j] for a, i in enumerate(r) for j in r[a + 1 :]) for r in runs])
+    z, first = toxicity._sums(0.3, w, v, flat, np.cumsum(lengths))
+    assert np.allclose(z, naive(w, v))
+    loss = rng.normal(size=len(runs))
+    u, dw, dv = toxicity._slopes(v, flat, lengths, first, loss)
+    for n, i in enumerate(u.tolist()):
+        up = w.copy()
+        up[i] += 1e-6
+        assert abs((loss @ (naive(up, v) - naive(w, v))) / 1e-6 - dw[n]) < 1e-4
+        for k in range(toxicity.FACTORS):
+            up = v.copy()
+            up[i, k] += 1e-6
+            assert abs((loss @ (naive(w, up) - naive(w, v))) / 1e-6 - dv[n, k]) < 1e-4
+
+
+def test_pairs_of_words_that_are_equally_common_in_both_classes():
+    """Toxic with both words or with neither, clean with one of them: each word is in half of either class's texts."""
+    rng = np.random.default_rng(6)
+    rows, y = [], []
+    for _ in range(6000):
+        a, b = (rng.random(2) < 0.5).tolist()
+        words = [f"w{int(x)}" for x in rng.integers(0, 400, 30)] + ["they"] * a + ["leave"] * b
+        rows.append(toxicity.terms_of(" ".join(words)))
+        y.append(float(a == b))
+    y = np.array(y)
+    m = toxicity.fit(rows[:5000], y[:5000])
+    places = [toxicity.kept_places(m.terms, t) for t in rows[5000:]]
+    z = toxicity._sums(m.bias, m.weights, m.factors, np.concatenate(places), np.cumsum([len(p) for p in places]))[0]
+    assert ((z > 0) == (y[5000:] == 1)).mean() > 0.95
+
+
+def test_the_sample_is_bounded_by_its_terms(spark, monkeypatch):
+    docs, labels = tables(spark)
+    monkeypatch.setattr(toxicity, "SAMPLE_TERMS", 2000)
+    rows = toxicity.sample(docs, labels, "toxic").collect()
+    for y in (0, 1):
+        assert 1900 < sum(r.n for r in rows if r.y == y) <= 2000
+    assert all(len(r.terms) == 4 * r.n for r in rows)
