@@ -1,13 +1,17 @@
 """Operator 3: approximate nearest neighbours by cross-polytope hashing.
 
-Each table turns vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and hashes
-them to the nearest signed axis. A query probes, in each table, the axes nearest to it in turn. Table and axis are a
-bucket, to which vectors and probing queries are dealt; all of a bucket's vectors are reranked exactly for its queries,
-and the best of all buckets are merged. Buckets over ``PART`` vectors are split and their queries sent to every part,
-so no vector is dropped and no task holds an unbounded bucket. Every vector is in every table.
-
-Recall against brute force over unit vectors without structure (the worst case) is above 0.9 with the defaults; with
-few vectors more axes are probed, up to all of them, which is exact.
+Vectors are dealt into shards of bounded size (vectors.searched), each indexed by ``TABLES`` hash tables. A table turns
+vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and hashes them to the nearest
+signed axis. A query probes, in each table, the axes nearest to it in turn; the vectors of all probed buckets of all
+tables are its candidates, which are reranked exactly. A query that meets
+fewer than k of a shard's vectors probes all its axes. Each shard's best are merged. Each vector is stored and moved
+once, and in all tables of its shard; queries are copied, one for each shard.
+
+A shard's size is bounded, so one polytope a table is enough at every size of the whole table: what grows with the input
+is the number of shards, and recall doesn't depend on it. The number of probed axes is fitted, before the search, so that
+``RECALL`` of the nearest neighbours in a bounded sample (``SAMPLE`` vectors and ``ASKED`` queries, the same at every
+run) have a bucket in common with their query; the sample's neighbours at the same share of it as k has of all vectors
+count. Neighbours in a small sample are farther away than those in the whole table, so the fit errs towards more probes.
 
 Defined results: see vectors.taking_part; zero vectors take no part. Vectors meet queries of their own length only. An
 empty table gives no rows; fewer candidates than k are all returned; other columns are ignored.
@@ -16,19 +20,20 @@ empty table gives no rows; fewer candidates than k are all returned; other colum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import best, ranked, taking_part
+from .vectors import best, searched, taking_part
 
-TABLES, PROBES = 8, 12
-#: Vectors of a bucket's part, and candidates that a query shall have, for each of its k, where vectors are few.
-PART, ENOUGH = 8192, 40
-_HELD = 200_000
+TABLES = 8
+#: Share of near neighbours that the probes are fitted to find, and the sample that they are fitted on.
+RECALL, SAMPLE, ASKED = 0.95, 4096, 512
+#: Pairs of a query and a vector that are looked at together.
+_PAIRS = 4 << 20
 
 
 def rotated(x: np.ndarray, table: int) -> np.ndarray:
@@ -55,95 +60,86 @@ def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
     return np.argsort(-y, axis=1, kind="stable")[:, :probes]
 
 
-def _hashed(rows: DataFrame, probes: int) -> DataFrame:
-    """``(bucket, vec_id, vec)`` from (vec_id, vec): a row for each table and probe; bucket counts tables, axes, length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, col = b.column(0).to_numpy(), b.column(1)
-            lengths = np.diff(col.offsets.to_numpy())
-            flat, starts = col.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths
-            for dims in np.unique(lengths):
-                rows = np.flatnonzero(lengths == dims)
-                x = flat[starts[rows][:, None] + np.arange(dims)]
-                raw = [r.tobytes() for r in x.astype("<f8")]
-                for t in range(TABLES):
-                    found = axes(x.astype(np.float64), t, min(probes, 2 << max(1, int(dims - 1).bit_length())))
-                    wide = found.shape[1]
-                    bucket = (int(dims) << 40) + (t << 32) + found.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(np.repeat(ids[rows], wide)), pa.array(raw, pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), wide)))], ["bucket", "vec_id", "vec"])
-
-    return rows.select("vec_id", "vec").mapInArrow(run, "bucket long, vec_id long, vec binary")
-
-
-def _rerank(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The best hits of a partition's rows (bucket, part, asks, vec_id, vec), sorted by these: a part's vectors come
-    first, then its queries."""
-    names = ["query_id", "vec_id", "score"]
-    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held = 0
-    at: tuple | None = None
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-    index: tuple[np.ndarray, np.ndarray] | None = None
-
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return best(*[np.concatenate(x) for x in zip(*hits, strict=True)], k)
-
-    for b in batches:
-        bucket, part, asks, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1])) + 1
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
-            if i == j:
-                continue
-            x = np.frombuffer(b"".join(b.column(4).slice(i, j - i).to_pylist()), "<f8").reshape(j - i, -1)
-            if at != (bucket[i], part[i]):
-                at, waiting, index = (bucket[i], part[i]), [], None
-            if not asks[i]:
-                waiting.append((ids[i:j], x))
-                continue
-            if not waiting:
-                continue
-            if index is None:
-                index = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
-            hits.append(_nearest(ids[i:j], x, *index, k))
-            held += len(hits[-1][0])
-            if held > _HELD:
-                hits = [merged()]
-                held = len(hits[0][0])
-                if 2 * held > _HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in hits[0]], names)
-                    hits, held = [], 0
-    if hits:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], names)
-
-
-def _nearest(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of x for each query; scores are summed alike wherever a vector stands, so that equals tie."""
-    rough = q @ x.T
-    rough[qids[:, None] == ids[None, :]] = -np.inf
-    if len(ids) > k:
-        least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
-    else:
-        least = np.full(len(qids), -np.inf)
-    slack = 1e-9 * (1 + np.abs(least))
-    row, col = np.nonzero((rough >= np.where(np.isfinite(least), least - slack, least)[:, None]) & (rough > -np.inf))
-    score = (q[row] * x[col]).sum(axis=1)
-    return best(qids[row], ids[col], score, k)
-
-
-def neighbours(vectors: DataFrame, is_query: Column, k: int, probes: int = PROBES) -> DataFrame:
+def every_axis(dims: int) -> int:
+    """The signed axes of vectors of so many components."""
+    return 2 << max(1, int(dims - 1).bit_length())
+
+
+def probes_for(sample: np.ndarray, count: int, k: int) -> int:
+    """The probed axes at which RECALL of the sample's nearest neighbours are met, where ``count`` vectors are searched."""
+    x = sample.astype(np.float64)
+    asked = x[:ASKED]
+    near = min(max(round(len(x) * k / max(count, 1)), 1), len(x) - 1)
+    if near < 1:
+        return 1
+    score = asked @ x.T
+    score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    found = np.argpartition(-score, near - 1, axis=1)[:, :near]
+    needed = np.full(found.shape, every_axis(x.shape[1]))
+    for t in range(TABLES):
+        order = axes(asked, t, every_axis(x.shape[1]))
+        place = np.argsort(order, axis=1)
+        own = axes(x, t, 1)[:, 0]
+        needed = np.minimum(needed, np.take_along_axis(place, own[found], axis=1) + 1)
+    return int(np.quantile(needed, RECALL, method="higher"))
+
+
+class Tables:
+    """The hash tables of one shard: for each table the vectors in order of their axis, and where each axis begins."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, probes: dict[int, int]) -> None:
+        self.ids, self.x = ids, rows.astype(np.float64)
+        dims = rows.shape[1]
+        self.axes = every_axis(dims)
+        self.probes = min(probes.get(dims, self.axes), self.axes)
+        self.tables = []
+        for t in range(TABLES):
+            own = axes(self.x, t, 1)[:, 0]
+            self.tables.append((np.argsort(own, kind="stable"), np.searchsorted(np.sort(own), np.arange(self.axes + 1))))
+
+    def ask(self, qids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query ids, ids, scores) of the nearest candidates of each query."""
+        step = max(_PAIRS // max(len(self.ids), 1), 1)
+        for i in range(0, len(qids), step):
+            yield self._nearest(qids[i : i + step], queries[i : i + step].astype(np.float64), k)
+
+    def _nearest(self, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates are scored roughly; those near the k-th again, alike wherever a vector stands, so that equals tie."""
+        rough = np.full((len(qids), len(self.ids)), -np.inf)
+        for t, (order, begin) in enumerate(self.tables):
+            probed = axes(q, t, self.probes)
+            who = np.repeat(np.arange(len(qids)), probed.shape[1])[np.argsort(probed, axis=None, kind="stable")]
+            ends = np.searchsorted(np.sort(probed, axis=None), np.arange(self.axes + 1))
+            for a in range(self.axes):
+                bucket, asking = order[begin[a] : begin[a + 1]], who[ends[a] : ends[a + 1]]
+                if len(bucket) and len(asking):
+                    rough[asking[:, None], bucket] = q[asking] @ self.x[bucket].T
+        rough[qids[:, None] == self.ids[None, :]] = -np.inf
+        short = np.flatnonzero((rough > -np.inf).sum(axis=1) < k)  # these probe on, through every axis
+        if len(short):
+            rough[short] = np.where(qids[short][:, None] == self.ids[None, :], -np.inf, q[short] @ self.x.T)
+        if len(self.ids) > k:
+            least = np.partition(rough, len(self.ids) - k, axis=1)[:, len(self.ids) - k]
+        else:
+            least = np.full(len(qids), -np.inf)
+        slack = 1e-9 * (1 + np.abs(least))
+        row, col = np.nonzero((rough >= np.where(np.isfinite(least), least - slack, least)[:, None]) & (rough > -np.inf))
+        score = (q[row] * self.x[col]).sum(axis=1)
+        return best(qids[row], self.ids[col], score, k)
+
+
+def fitted(part: DataFrame, k: int) -> dict[int, int]:
+    """The probes of each length of vectors, by a bounded sample of the most frequent lengths; other lengths have few
+    vectors and probe every axis."""
+    counts = part.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(8).collect()
+    out = {}
+    for dims, count in counts:
+        rows = part.filter(F.size("vec") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec")
+        out[dims] = probes_for(np.array([r.vec for r in rows.collect()], np.float64), count, k)
+    return out
+
+
+def neighbours(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found, by inner product, of each vector with ``is_query``."""
     part = written(taking_part(vectors, zero=False), "vectors")
-    n = part.count()
-    # where vectors are few, enough of the axes that k times ENOUGH candidates are expected
-    wide = part.agg(F.max(F.size("vec"))).first()[0] or 1
-    every = 2 << max(1, (wide - 1).bit_length())
-    probes = min(every, max(probes, -(-every * ENOUGH * k // max(n, 1))))
-    index, asked = written(_hashed(part, 1), "buckets"), _hashed(part.filter(is_query), probes)
-    # at most one row for each table and axis
-    heavy = index.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > PART).select("bucket", F.ceil(F.col("n") / (PART // 2)).alias("parts"))
-    own = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("long")
-    left = index.join(heavy, "bucket", "left").select("bucket", own.alias("part"), F.lit(False).alias("asks"), "vec_id", "vec")
-    right = asked.join(heavy, "bucket", "left").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0)).cast("long"))).alias("part"), F.lit(True).alias("asks"), "vec_id", "vec")
-    dealt = left.union(right).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "asks")
-    return ranked(dealt.mapInArrow(lambda it: _rerank(it, k), "query_id long, vec_id long, score double").distinct(), k)
+    return searched(part, is_query, k, partial(Tables, probes=fitted(part, k)), "double")

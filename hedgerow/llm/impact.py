@@ -1,15 +1,14 @@
 """Operator 2: exact top-k inner products by an impact-ordered index, score at a time.
 
-Components are made integers and quantised to at most ``IMPACTS`` impacts a dimension (where a block's integers span
-fewer values, an impact is one integer). The index of a block holds for each dimension its posting segments: the vectors
+Components are made integers and quantised to at most ``IMPACTS`` impacts a dimension (where a shard's integers span
+fewer values, an impact is one integer). The index of a shard holds for each dimension its posting segments: the vectors
 of one impact each, in order of impact. A query turns a segment into a contribution, its weight times the impact's
 upper end, and takes the segments of all dimensions in descending order of contribution, in rounds. A vector's
 accumulator bounds what it has got; each dimension in which it hasn't been met can add no more than the largest
 contribution that is left. The pass stops only where that bound proves that few vectors can be among the best; all of
 these are rescored exactly, so the result is exact.
 
-Vectors are dealt into blocks, each indexed once in one task with bounded memory. Queries alone are copied, one for each
-block, and stream past the index; only each block's best are merged.
+Vectors are dealt into shards, each indexed once (vectors.searched); queries alone are copied.
 
 Defined results: see vectors.taking_part. Vectors meet queries of their own length only, of any length. Scores are exact
 integers; one that doesn't fit a long is returned as the nearest long, and ties with others that do so. An empty table
@@ -21,27 +20,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, written
-from .vectors import best, ranked, taking_part
+from .common import written
+from .vectors import searched, taking_part
 
-#: Components of a block: no more than the first; no fewer than the second only to give all cores a block.
-BLOCK, SMALL_BLOCK = 1 << 22, 1 << 19
 #: Impacts of a dimension.
 IMPACTS = 1024
 #: Contributions, in mean sizes of a query's contributions, at which a round ends.
 ROUNDS = (0.6, 0.15, 0.0, -0.25, -0.7)
-#: Vectors that are rescored first, to know a score that counts; hits that are held before they are merged.
-_FIRST, _HELD = 64, 50_000
+#: Vectors that are rescored first, to know a score that counts.
+_FIRST = 64
 #: A product of Euclidean lengths below which every sum of products is exact in 64 bits.
 _EXACT = 2.0**62
 
 
 class Index:
-    """The posting segments of one block of integer vectors (rows of int64), in ascending order of id."""
+    """The posting segments of one shard of integer vectors (rows of int64), in ascending order of id."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows
@@ -114,6 +110,12 @@ class Index:
         order = np.lexsort((self.ids[may], -scores))[:k]
         return self.ids[may][order], scores[order]
 
+    def ask(self, qids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query ids, ids, scores) of each query's best."""
+        for qid, q in zip(qids.tolist(), queries, strict=True):
+            ids, scores = self.search(qid, q, k)
+            yield np.full(len(ids), qid), ids, scores
+
     def _large(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """As search(), with integers of any size: every vector is rescored."""
         scores = self.rows.astype(object) @ q.astype(object)
@@ -122,66 +124,11 @@ class Index:
         return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], np.int64)
 
 
-def _matrix(col: pa.ListArray) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
-
-
-def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The best hits of a partition's rows (dims, block, asks, vec_id, vec), sorted by these: a block's vectors come
-    first, then its queries."""
-    at: tuple | None = None
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-    index: Index | None = None
-    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held = 0
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in best(*[np.concatenate(x) for x in zip(*hits, strict=True)], k)], ["query_id", "vec_id", "score"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        dims, block, asks, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        cuts = np.flatnonzero((dims[1:] != dims[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
-            rows = _matrix(b.column(4).slice(i, j - i))
-            if at != (dims[i], block[i]):
-                at, waiting, index = (dims[i], block[i]), [], None
-            if not asks[i]:
-                waiting.append((ids[i:j], rows))
-                continue
-            if not waiting:
-                continue
-            if index is None:
-                every = np.concatenate([w[0] for w in waiting])
-                order = np.argsort(every, kind="stable")
-                index = Index(every[order], np.concatenate([w[1] for w in waiting])[order])
-                waiting = waiting[:1]
-            for qid, q in zip(ids[i:j].tolist(), rows, strict=True):
-                found, scores = index.search(qid, q, k)
-                hits.append((np.full(len(found), qid), found, scores))
-                held += len(found)
-            if held > _HELD:
-                yield out()
-                hits, held = [], 0
-    if held:
-        yield out()
-
-
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each vector with ``is_query`` (on vec_id) the k highest integer inner
     products with other vectors, ties to the smaller id."""
-    spark = vectors.sparkSession
     part = taking_part(vectors).select("vec_id", F.transform("vec", lambda v: F.floor(v.cast("double") * scale)).alias("vec"))
-    part = written(part.withColumn("dims", F.size("vec")), "integer-vectors")
-    size = part.agg(F.sum("dims")).first()[0] or 0
-    blocks = max(-(-size // BLOCK), min(-(-size // SMALL_BLOCK), spark.sparkContext.defaultParallelism), 1)
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    columns = lambda rows, at, asks: rows.select("dims", at.alias("block"), F.lit(asks).alias("asks"), "vec_id", "vec")
-    dealt = columns(part, block, False).union(columns(part.filter(is_query), every, True))
-    dealt = dealt.repartition(4 * blocks, "dims", "block").sortWithinPartitions("dims", "block", "asks")
-    return ranked(in_batches(dealt, lambda it: _search(it, k), "query_id long, vec_id long, score long"), k)
+    return searched(written(part, "integer-vectors"), is_query, k, Index, "long")
 
 
 ORACLE_SQL = """

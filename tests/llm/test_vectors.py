@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hedgerow.llm import ann, impact
+from hedgerow.llm import ann, impact, vectors
 
 
 def unit(rng, n, d):
@@ -29,7 +29,7 @@ def odd_rows():
 
 @pytest.mark.parametrize(("block", "impacts"), [(1 << 22, 1024), (320, 8)])
 def test_top_k_is_exact(spark, monkeypatch, block, impacts):
-    monkeypatch.setattr(impact, "BLOCK", block)
+    monkeypatch.setattr(vectors, "SHARD", block)
     monkeypatch.setattr(impact, "IMPACTS", impacts)
     rng = np.random.default_rng(0)
     x = unit(rng, 300, 8)
@@ -90,9 +90,9 @@ def test_only_queries_are_copied(spark):
     assert plan.count("Generate explode") == 1 and "Join" not in plan
 
 
-@pytest.mark.parametrize("part", [8192, 16])
+@pytest.mark.parametrize("part", [1 << 22, 4000])
 def test_neighbours(spark, monkeypatch, part):
-    monkeypatch.setattr(ann, "PART", part)
+    monkeypatch.setattr(vectors, "SHARD", part)
     rng = np.random.default_rng(1)
     x = unit(rng, 2500, 32)
     x[500:620] = x[499]  # a group of copies
@@ -124,3 +124,24 @@ def test_rotations_keep_lengths():
     norms = np.linalg.norm(y, axis=1)
     assert np.allclose(norms, norms[0]) and y.shape == (50, 32)
     assert (ann.axes(x, 1, 5)[:, :1] == ann.axes(x, 1, 1)).all()
+
+
+@pytest.mark.parametrize(("dims", "n", "k"), [(64, 100_000, 20), (128, 20_000, 20), (256, 8_000, 20), (8, 20_000, 20), (64, 500, 20)])
+def test_recall_of_fitted_probes(dims, n, k):
+    """Unit vectors without structure, shard by shard as the search does: at least 0.9, and not by probing every axis."""
+    rng = np.random.default_rng(dims)
+    x = unit(rng, n, dims)
+    probes = {dims: ann.probes_for(x[rng.permutation(n)[: ann.SAMPLE]], n, k)}
+    if n >= 8000:
+        assert probes[dims] < ann.every_axis(dims) / 2
+    asked = np.arange(0, n, max(n // 60, 1))
+    q, parts = x[asked].astype(np.float64), []
+    for i in range(0, n, 65_536):
+        parts += list(ann.Tables(np.arange(i, min(n, i + 65_536)), x[i : i + 65_536], probes).ask(asked, x[asked], k))
+    query, vec, _ = vectors.best(*[np.concatenate(c) for c in zip(*parts, strict=True)], k)
+    scores = q @ x.astype(np.float64).T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = {(int(a), int(v)) for a, row in zip(asked, np.argpartition(-scores, k - 1, axis=1)[:, :k], strict=True) for v in row}
+    recall = len(want & set(zip(query.tolist(), vec.tolist(), strict=True))) / len(want)
+    print(dims, n, probes, recall)
+    assert recall >= 0.9
