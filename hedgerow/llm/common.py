@@ -103,8 +103,9 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:  # noqa: ANN001
     return df.mapInArrow(run, schema)
 
 
-def rows_of(rows: DataFrame, keys: DataFrame, on: list[str], by: str) -> DataFrame:
-    """The rows whose key is among keys(*on, n), where n is the number of rows that have it.
+def rows_of(rows: DataFrame, keys: DataFrame, on: list[str], by: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The rows whose key is among keys(*on, n, *extra), one row for each key, where n is the number of rows that have
+    it; with the columns ``extra``.
 
     A key that over one in ``PARTS`` of these rows have is dealt out over parts by the column ``by``, so no task gets
     all of it. Fewer than PARTS keys can be so frequent, which bounds the table that is sent to all tasks. ``keys`` is
@@ -115,9 +116,10 @@ def rows_of(rows: DataFrame, keys: DataFrame, on: list[str], by: str) -> DataFra
     parts = F.ceil(F.col("n") / most)
     hot = keys.filter(F.col("n") > most).select(*on, parts.alias("hedgerow_parts"))
     own = F.pmod(F.xxhash64(by, F.lit(11)), F.coalesce("hedgerow_parts", F.lit(1)))
-    left = rows.join(F.broadcast(hot), on, "left").withColumn("hedgerow_part", own)
-    right = keys.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > most, parts - 1).otherwise(0).cast("long"))).alias("hedgerow_part"))
-    return left.join(right, [*on, "hedgerow_part"], "left_semi").select(*rows.columns)
+    left = rows.join(F.broadcast(hot), on, "left").withColumn("hedgerow_part", own).drop("hedgerow_parts")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > most, parts - 1).otherwise(0).cast("long")))
+    right = keys.select(*on, *extra, every.alias("hedgerow_part"))
+    return left.join(right, [*on, "hedgerow_part"], "inner" if extra else "left_semi").select(*rows.columns, *extra)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

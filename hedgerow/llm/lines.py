@@ -3,9 +3,11 @@
 Of every ``run`` consecutive lines the one with the least hash is selected (the last of equals), so two equal runs of
 that many lines select the same line. Lines of ``words`` words or more are a run by themselves and always selected.
 With ``passages``, fewer than ``run`` lines that have so many words together are a run too, with a window minimum.
-Selected lines are joined on their hash; around those that recur, the runs that they stand for are extended before and
-after to full length and compared by a 128-bit hash; all occurrences but the first, by (doc_id, line), are deleted.
-Longer repeated stretches are the union of their runs. Only hashes and positions move, never pairs of a group.
+Only selected lines are stored, each with its position and the hashes of the lines around it. They are joined on their
+hash; one that recurs at another position, and such alone, is extended before and after to the runs that selected it.
+These are compared by 128 bits a line; all occurrences of a run but the first, by (doc_id, line), are deleted. Longer
+repeated stretches are the union of their runs. Only hashes and positions move, never pairs of a group; a line or run
+that many texts share is dealt out over tasks (common.rows_of).
 
 Defined results: lines end at "\\n"; spaces, tabs and carriage returns at a line's ends don't count. Blank lines are no
 part of runs and stay. Null text counts as empty, which is one blank line. Rows equal in doc_id and text are one
@@ -23,11 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import in_batches, rows_of, slices, written
 
 #: Lines of the shortest run that is deleted, and words of a line that counts as a run.
 RUN, WORDS = 3, 50
 _MARGIN = " \t\r"
+#: Bytes of a line's hash; what a run's first line is multiplied by where it is stored in one number with its length.
+_BYTES, _WIDE = 16, 1 << 10
 _ROW, _TEXT = "hedgerow_row", "hedgerow_text"
 
 
@@ -43,29 +47,30 @@ def selected(hashes: list[bytes], run: int) -> dict[int, list[int]]:
     return out
 
 
-def runs_of(text: str, run: int, words: int, passages: bool = True) -> Iterator[tuple[bytes, bytes, int, int]]:
-    """(hash of a selected line, hash of a run that it stands for, the run's first line, lines) of a text."""
+def fingerprints(text: str, run: int, words: int, passages: bool = True) -> Iterator[tuple[list[bytes], list[int], list[int], int]]:
+    """For each selected line of a text: the hashes and numbers of it and the lines around it, the runs that selected it
+    (each ``start * _WIDE + lines``, counted among these), and its own place among these."""
     places, hashes, counts = [], [], []
-    long: list[int] = []
+    units: dict[int, list[tuple[int, int]]] = {}  # the runs (first, lines) by the line that stands for them
     for i, line in enumerate(text.split("\n")):
         if line := line.strip(_MARGIN):
             raw = line.encode()
             if passages or len(raw) >= 2 * words - 1:
                 counts.append(len(raw.split()))
-                if counts[-1] >= words:
-                    long.append(len(hashes))
+                if counts[-1] >= words and run > 1:
+                    units[len(hashes)] = [(len(hashes), 1)]
             places.append(i)
             hashes.append(xxhash.xxh3_128_digest(raw))
-    for i in long:
-        yield hashes[i], hashes[i], places[i], places[i]
     for n in range(2, run) if passages else ():
         for i, starts in selected(hashes, n).items():
-            for s in starts:
-                if sum(counts[s : s + n]) >= words:
-                    yield hashes[i], xxhash.xxh3_128_digest(b"".join(hashes[s : s + n])), places[s], places[s + n - 1]
+            long = [(s, n) for s in starts if sum(counts[s : s + n]) >= words]
+            if long:
+                units.setdefault(i, []).extend(long)
     for i, starts in selected(hashes, run).items():
-        for s in starts:
-            yield hashes[i], xxhash.xxh3_128_digest(b"".join(hashes[s : s + run])), places[s], places[s + run - 1]
+        units.setdefault(i, []).extend((s, run) for s in starts)
+    for i, runs in units.items():
+        low, high = min(s for s, _ in runs), max(s + n for s, n in runs)
+        yield hashes[low:high], places[low:high], [(s - low) * _WIDE + n for s, n in runs], i - low
 
 
 def _row_key(df: DataFrame) -> Column:
@@ -77,27 +82,40 @@ def repeated(docs: DataFrame, run: int, words: int, passages: bool = True) -> Da
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, _TEXT):
-            at, rows = [], []
+            at, line, place, near, numbers, units = [], [], [], [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
-                for r in runs_of(t or "", run, words, passages):
+                for hashes, places, runs, own in fingerprints(t or "", run, words, passages):
                     at.append(i)
-                    rows.append(r)
-            at = pa.array(at, pa.int64())
-            lines, runs, first, last = zip(*rows, strict=True) if rows else ((), (), (), ())
-            lines = pa.array(np.frombuffer(b"".join(x[:8] for x in lines), np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), lines, pa.array(runs, pa.binary()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["doc_id", "row", "line", "run", "first", "last"])
+                    line.append(hashes[own][:8])
+                    place.append(places[own])
+                    near.append(b"".join(hashes))
+                    numbers.append(places)
+                    units.append(runs)
+            at, ints = pa.array(at, pa.int64()), pa.list_(pa.int32())
+            line = pa.array(np.frombuffer(b"".join(line), np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), line, pa.array(place, pa.int32()), pa.array(near, pa.binary()), pa.array(numbers, ints), pa.array(units, ints)], ["doc_id", "row", "line", "place", "near", "numbers", "units"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    places = docs.select("doc_id", docs[_ROW].alias("row"), _TEXT).mapInArrow(scan, f"doc_id {kind}, row long, line long, run binary, first int, last int")
-    places = written(places, "lines")
-    # selected lines that recur anywhere: candidates
-    place = F.struct("doc_id", "row", "first")
-    recur = places.groupBy("line").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("line")
-    candidates = places.join(recur, "line")
-    # their runs, and the first occurrence of each
+    schema = f"doc_id {kind}, row long, line long, place int, near binary, numbers array<int>, units array<int>"
+    found = written(in_batches(docs.select("doc_id", docs[_ROW].alias("row"), _TEXT), scan, schema), "lines")
+
+    def several(rows: DataFrame, key: str, where: Column) -> DataFrame:
+        """The keys that stand at two positions at least, the first of these, and the number of rows."""
+        keys = rows.groupBy(key).agg(F.min(where).alias("origin"), F.max(where).alias("last_one"), F.count("*").alias("n"))
+        return written(keys.filter("origin <> last_one").drop("last_one"), "recurring")
+
+    recurring = rows_of(found, several(found, "line", F.struct("doc_id", "row", "place")), ["line"], "place")
+    start, size = F.floor(F.col("unit") / _WIDE).cast("int"), F.col("unit") % _WIDE
+    runs = recurring.select("doc_id", "row", "near", "numbers", F.explode("units").alias("unit")).select(
+        "doc_id",
+        "row",
+        F.substring("near", start * _BYTES + 1, size * _BYTES).alias("run"),
+        F.element_at("numbers", start + 1).alias("first"),
+        F.element_at("numbers", start + size).alias("last"),
+    )
+    runs = written(runs, "runs")
     where = F.struct("doc_id", "row", "first")
-    known = candidates.groupBy("run").agg(F.min(where).alias("origin"), F.max(where).alias("y")).filter("origin <> y").select("run", "origin")
-    later = candidates.join(known, "run").filter(where != F.col("origin"))
+    later = rows_of(runs, several(runs, "run", where), ["run"], "first", ("origin",)).filter(where != F.col("origin"))
     return later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
@@ -123,7 +141,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS, text_col: s
                 gone.append(len(drop))
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], schema.names)
 
-    return narrow.mapInArrow(cut, schema)
+    return in_batches(narrow, cut, schema)
 
 
 def oracle_sql(run: int = RUN, words: int = WORDS) -> str:
