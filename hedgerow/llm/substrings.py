@@ -1,13 +1,16 @@
-"""Operator 8: removes words in repeated windows, by two levels of windows.
+"""Operator 8: removes words in repeated windows, by level-wise doubling of windows.
 
-The first level looks at windows of half the length. Of the half-windows inside each full window the one with the least
-hash stands for it, so equal windows are stood for by equal half-windows, and only one position in about ten is looked
-at. Where a half-window recurs, and there alone, the windows that it stands for are extended to the full length and
-compared again: one step of doubling. ``longer`` makes a further one, to twice that length; no query calls it.
+Windows of 9, then 18, then 35 words are looked at (``chain``: each level about twice the one before, the last the full
+length). The first level looks at one short window inside each full window, the one with the least hash, so equal full
+windows are stood for by equal short ones, and only one position in about fourteen is looked at. A short window that
+recurs, and such alone, is extended to the next length, inside the full windows that it stands for, to the right where
+there is room and else to the left; those that recur are extended again. The chain ends at the full length or where no
+candidate survives. ``lengthen`` goes on doubling from there until none does.
 
 Texts are taken once each, keyed by 95 bits of hash, with their number of copies: a text with copies is repeated as a
-whole. Positions and hashes move between levels, never pairs of a group; counts are pre-aggregated and joined back, so
-that a hot window can be split. Word runs are told apart by 95 bits of hash.
+whole. Positions and hashes move between levels, never pairs of a group. Counts are pre-aggregated and join the
+positions by an exchange of their own, so that adaptive execution splits the positions of a window that many texts
+share. Full windows are told apart by 95 bits of hash.
 
 Defined results: null and empty texts have no words and no windows. A text shorter than a window keeps all words.
 Repeated rows are copies of each other, so what they share is removed from all of them. An empty table gives no rows.
@@ -27,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices
+from .common import SLICE_BYTES, in_batches, slices, written
 
 #: Words of a window.
 WINDOW = 35
@@ -79,17 +82,36 @@ class Windows:
             return np.zeros(0, np.int64)
         return np.flatnonzero(self.doc[: self.n - length + 1] == self.doc[length - 1 :])
 
-    def stand_ins(self, length: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start of each window, position of the half-window that stands for it)."""
+    def stand_ins(self, length: int, short: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start of each window, start of the short window that stands for it: the least hash in it, leftmost)."""
         s = self.starts(length)
         if not len(s):
             return s, s
-        view = np.lib.stride_tricks.sliding_window_view(self.hashes(half), length - half + 1)
-        p = np.empty(len(s), np.int64)
-        for i in range(0, len(s), 1 << 16):
-            part = s[i : i + (1 << 16)]
-            p[i : i + len(part)] = part + view[part].argmin(axis=1)
-        return s, p
+        span = length - short + 1
+        least = (self.hashes(short) >> np.uint64(32) << np.uint64(32)) | np.arange(self.n - short + 1, dtype=np.uint64)
+        wide = 1
+        while 2 * wide <= span:
+            least = np.minimum(least[:-wide], least[wide:])
+            wide *= 2
+        return s, (np.minimum(least[s], least[s + span - wide]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    def levels(self, lengths: list[int], level: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(start of each full window, for each level up to ``level`` the start of the window that stands for it)."""
+        length = lengths[-1]
+        s, at = self.stand_ins(length, lengths[0])
+        out = [at]
+        for before, now in zip(lengths[:level], lengths[1 : level + 1], strict=True):
+            right = out[-1] + now <= s + length
+            out.append(s if now == length else np.where(right, out[-1], out[-1] + before - now))
+        return s, out
+
+
+def chain(length: int, least: int = 8) -> list[int]:
+    """The lengths of the levels: ``length``, its half (rounded up) and so on, while at least ``least``; ascending."""
+    out = [length]
+    while (half := (out[0] + 1) // 2) >= least and half < out[0]:
+        out.insert(0, half)
+    return out
 
 
 def _batch(b: pa.RecordBatch, docs: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -112,7 +134,7 @@ def texts_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
             packed = [z.compress(t.encode()) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["k1", "k2", "packed"])
 
-    keyed = docs.select(F.xxhash64(text).alias("k1"), _k2(text), text.alias("text")).mapInArrow(pack, "k1 long, k2 int, packed binary")
+    keyed = in_batches(docs.select(F.xxhash64(text).alias("k1"), _k2(text), text.alias("text")), pack, "k1 long, k2 int, packed binary")
     return keyed.groupBy("k1", "k2").agg(F.first("packed").alias("packed"), F.count("*").alias("copies"))
 
 
@@ -122,52 +144,53 @@ def unpacked(b: pa.RecordBatch) -> list[bytes]:
     return [z.decompress(x) for x in b.column(2).to_pylist()]
 
 
-def half_windows(texts: DataFrame, length: int) -> DataFrame:
-    """``(k1, k2, pos, g)``: the half-windows that stand for windows, and their hashes."""
-    half = (length + 1) // 2
+def windows_at(texts: DataFrame, lengths: list[int], level: int) -> DataFrame:
+    """``(k1, k2, pos, w1, w2)``: the windows of a level, each position once. Above level 0 ``texts`` has ``places``, the
+    positions of the windows that survived the level before; only the windows that extend these are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length = lengths[level]
         for b in slices(batches, "packed", SLICE_BYTES // 2):
             w = Windows(unpacked(b))
-            p = np.unique(w.stand_ins(length, half)[1])
+            at = w.levels(lengths, level)[1]
+            p = at[level]
+            if level:
+                places = b.column(3)
+                counts = np.diff(places.offsets.to_numpy())
+                marks = np.zeros(w.n + 1, bool)
+                marks[places.flatten().to_numpy(zero_copy_only=False) + np.repeat(w.ends[:-1], counts)] = True
+                p = p[marks[at[level - 1]]]
+            mine = np.zeros(w.n + 1, bool)
+            mine[p] = True
+            p = np.flatnonzero(mine)
             if len(p):
-                yield _batch(b, w.doc[p], {"pos": (p - w.ends[w.doc[p]]).astype(np.int32), "g": w.hashes(half, p).view(np.int64)})
+                doc = w.doc[p]
+                columns = {"pos": (p - w.ends[doc]).astype(np.int32), "w1": w.hashes(length, p).view(np.int64)}
+                if level == len(lengths) - 1:  # shorter windows are candidates only
+                    columns["w2"] = w.hashes(length, p, 1).astype(np.uint32).view(np.int32)
+                yield _batch(b, doc, columns)
 
-    # all columns, as everywhere that the texts are read: only equal exchanges are shared
-    return texts.select("k1", "k2", "packed", "copies").mapInArrow(run, "k1 long, k2 int, pos int, g long")
-
-
-def full_windows(marked: DataFrame, length: int) -> DataFrame:
-    """``(k1, k2, pos, w1, w2)`` from (k1, k2, packed, places, copies): the windows for which one of the places stands."""
-    half = (length + 1) // 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "packed", SLICE_BYTES // 2):
-            w = Windows(unpacked(b))
-            places = b.column(3)
-            counts = np.diff(places.offsets.to_numpy())
-            flat = places.flatten().to_numpy(zero_copy_only=False)
-            marks = np.zeros(w.n + 1, bool)
-            marks[flat + np.repeat(w.ends[:-1], counts)] = True
-            s, p = w.stand_ins(length, half)
-            s = s[marks[p]]
-            if len(s):
-                columns = {"pos": (s - w.ends[w.doc[s]]).astype(np.int32), "w1": w.hashes(length, s).view(np.int64), "w2": w.hashes(length, s, 1).astype(np.uint32).view(np.int32)}
-                yield _batch(b, w.doc[s], columns)
-
-    return marked.select("k1", "k2", "packed", "places", "copies").mapInArrow(run, "k1 long, k2 int, pos int, w1 long, w2 int")
+    # all columns of the texts, everywhere that they are read: only equal exchanges are shared
+    extra = ", w2 int" if level == len(lengths) - 1 else ""
+    return in_batches(texts.select("k1", "k2", "packed", *(["places"] if level else []), "copies"), run, f"k1 long, k2 int, pos int, w1 long{extra}")
 
 
 def recurring(rows: DataFrame, *key: str) -> DataFrame:
-    """The rows whose key at least two rows have."""
-    many = rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(many, list(key), "left_semi")
+    """The rows whose key at least two rows have. The keys are counted under another form of themselves, so that they
+    are exchanged once more for the join: adaptive execution splits a key's rows only where both sides are exchanged."""
+    first, *rest = key
+    many = rows.groupBy(F.bitwise_not(first).alias(first), *rest).agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(many.select(F.bitwise_not(first).alias(first), *rest), list(key), "left_semi")
 
 
 def repeated_windows(texts: DataFrame, length: int = WINDOW) -> DataFrame:
     """``(k1, k2, pos, w1, w2)``: every window of ``length`` words that starts at two places or more."""
-    places = recurring(half_windows(texts, length), "g").groupBy("k1", "k2").agg(F.collect_list("pos").alias("places"))
-    return recurring(full_windows(texts.join(places, ["k1", "k2"]), length), "w1", "w2")
+    lengths = chain(length)
+    found = recurring(windows_at(texts, lengths, 0), *(("w1",) if len(lengths) > 1 else ("w1", "w2")))
+    for level in range(1, len(lengths)):
+        places = found.groupBy("k1", "k2").agg(F.collect_list("pos").alias("places"))
+        found = recurring(windows_at(texts.join(places, ["k1", "k2"]), lengths, level), *(("w1",) if level < len(lengths) - 1 else ("w1", "w2")))
+    return found
 
 
 def longer(windows: DataFrame, length: int) -> DataFrame:
@@ -178,6 +201,16 @@ def longer(windows: DataFrame, length: int) -> DataFrame:
     return recurring(whole, "w1", "w2")
 
 
+def lengthen(windows: DataFrame, length: int) -> DataFrame:
+    """``(length, k1, k2, pos)``: the repeated windows of ``length`` words and of every doubling of it, until none is left."""
+    out, level = None, written(windows, "windows")
+    while not level.isEmpty():
+        rows = level.select(F.lit(length).alias("length"), "k1", "k2", "pos")
+        out = rows if out is None else out.unionByName(rows)
+        level, length = written(longer(level, length), "windows"), 2 * length
+    return level.select(F.lit(length).alias("length"), "k1", "k2", "pos") if out is None else out
+
+
 def remove_repeats(docs: DataFrame, length: int = WINDOW, digest: bool = False) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` for docs(doc_id, text): the words outside repeated windows, joined by one
     space. With ``digest``, ``kept_sha256`` in place of kept, so that no text leaves the worker.
@@ -207,7 +240,8 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW, digest: bool = False)
                 kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["k1", "k2", "n_words", "n_removed", last])
 
-    done = texts.join(starts, ["k1", "k2"], "left").select("k1", "k2", "packed", "copies", "starts").mapInArrow(run, f"k1 long, k2 int, n_words long, n_removed long, {last} string")
+    marked = texts.join(starts, ["k1", "k2"], "left").select("k1", "k2", "packed", "copies", "starts")
+    done = in_batches(marked, run, f"k1 long, k2 int, n_words long, n_removed long, {last} string")
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("k1"), _k2(text))
     return rows.join(done, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", last)

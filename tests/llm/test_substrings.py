@@ -37,7 +37,7 @@ def got(df):
 def test_matches_brute_force(spark):
     rows = sample()
     docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, k1 int, copies int")
-    for length in (6, 7):
+    for length in (6, 7, 17, 35):
         assert got(substrings.remove_repeats(docs, length)) == brute(rows, length)
 
 
@@ -58,3 +58,27 @@ def test_levels_end(spark):
             break
         level, length = written(substrings.longer(level, length), "level"), 2 * length
     assert length > 48
+
+
+def test_lengthen_ends_by_emptiness(spark):
+    rows = sample()
+    texts = written(substrings.texts_of(spark.createDataFrame(rows, "doc_id long, text string")), "texts")
+    found = Counter(r["length"] for r in substrings.lengthen(substrings.repeated_windows(texts, 6), 6).collect())
+    different = {t or "" for _, t in rows}
+    for length in (6, 12, 24, 48, 3072):
+        count = Counter(tuple(t.split()[i : i + length]) for t in different for i in range(len(t.split()) - length + 1))
+        assert found[length] == sum(n for n in count.values() if n > 1)
+
+
+def test_chain_and_stand_ins():
+    assert substrings.chain(35) == [9, 18, 35] and substrings.chain(6) == [6] and substrings.chain(17) == [9, 17]
+    rng = np.random.default_rng(2)
+    w = substrings.Windows([" ".join(f"w{x}" for x in rng.integers(0, 3, n)).encode() for n in (200, 10, 0, 90, 35)])
+    lengths = substrings.chain(35)
+    s, at = w.levels(lengths, 2)
+    where = {}
+    for level, p in enumerate(at):
+        assert ((p >= s) & (p + lengths[level] <= s + 35)).all()
+        for window, offset in zip(w.hashes(35, s).tolist(), (p - s).tolist(), strict=True):
+            assert where.setdefault((level, window), offset) == offset
+    assert (at[2] == s).all() and len(s) == 166 + 56 + 1
