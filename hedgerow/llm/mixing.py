@@ -98,7 +98,9 @@ def plan(sizes: DataFrame) -> DataFrame:
 def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows(doc_id, source, size, ...) with source_size, target and copies (how often the mix takes the row)."""
     base = rows.drop("source_size", "target", "copies", "whole", "threshold").withColumn("hedgerow_key", _key())
-    extra = F.when(F.col("threshold").isNull() | (place(F.col("doc_id")) < F.col("threshold")), 1).otherwise(0)
+    # a source at its cap takes whole copies alone: no document exceeds MOST times itself, one without words neither
+    room = F.col("whole") < MOST
+    extra = F.when(room & (F.col("threshold").isNull() | (place(F.col("doc_id")) < F.col("threshold"))), 1).otherwise(0)
     return base.join(plan, "hedgerow_key").withColumn("copies", F.col("whole") + extra).drop("hedgerow_key", "whole", "threshold")
 
 

@@ -55,3 +55,9 @@ def test_matches_brute_force(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs).collect() == []
+
+
+def test_empty_texts_in_a_capped_source_are_not_taken_thrice(spark):
+    rows = [(i, "w " * (i % 3), "a") for i in range(30)] + [(100 + i, "w " * 50, "b") for i in range(30)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.copies for r in found if r.source == "a"} == {2} and max(r.copies for r in found) <= 2

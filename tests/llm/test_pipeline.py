@@ -2,6 +2,11 @@ import os
 
 import pytest
 
+def shingles(text, words=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
 DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 
@@ -9,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver table
 def test_stages(spark):
     import corpus_pipeline as p
 
-    from hedgerow.llm import lines, simhash, toxicity
+    from hedgerow.llm import lines, toxicity
     from hedgerow.llm.common import table, written
 
     docs = table(spark, DATA, "documents")
@@ -28,8 +33,19 @@ def test_stages(spark):
     texts = {r.doc_id: r.kept for r in lines.dedup_lines(before).collect()}
     assert {r.doc_id: r.text for r in after.collect()} == texts
     before, after = kept["near-duplicates"]
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(before).collect()}
-    assert ids(after) == sorted(set(groups.values())) and len(ids(after)) < len(ids(before))
+    # similar texts linked by plain sets, every pair
+    sets = {r.doc_id: shingles(r.text) for r in before.collect()}
+    root = {d: d for d in sets}
+    by_shingle = {}
+    for d, s in sets.items():
+        for x in s or {None}:
+            by_shingle.setdefault(x, []).append(d)
+    for d, s in sets.items():
+        for e in {e for x in s or {None} for e in by_shingle[x] if e < d}:
+            if root[d] != root[e] and 5 * len(s & sets[e]) >= 4 * len(s | sets[e]):
+                low, high = sorted((root[d], root[e]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert ids(after) == sorted({r for r in root.values()}) and len(ids(after)) < len(ids(before))
     before, after = kept["mixing"]
     assert set(ids(after)) <= set(ids(before)) and abs(after.count() - 1.5 * before.count()) < before.count()
     before, after = kept["encoding"]

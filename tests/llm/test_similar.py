@@ -74,7 +74,35 @@ def test_matches_brute_force(spark, monkeypatch, most):
     rows += [(1000 + i, " ".join(changed(base, int(rng.integers(0, 4)), rng))) for i in range(60)]
     rows += [(9000, None), (9001, ""), (9002, " \t\n"), (9003, "one two"), (9003, "one two"), (None, "ONE two"), (None, "null id alone x y z"), (9004, "A b C d " * 500)]
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, id string, row int")
-    assert result(similar.near_copies(docs)) == brute(rows)
+    assert result(similar.near_copies(docs).select("doc_id", "component_id")) == brute(rows)
+
+
+def test_labels_with_known_links_equal_those_of_all_pairs():
+    rng = np.random.default_rng(10)
+    base = [f"v{i}" for i in range(100)]
+    sets = [similar.shingle_set(" ".join(changed(base, int(rng.integers(0, 6)), rng)), 5) for _ in range(80)]
+    sets += [similar.shingle_set(" ".join(rng.choice(base, 60)), 5) for _ in range(30)]
+    share = similar.Fraction("0.8")
+    near = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+    for known in (None, [i // 3 for i in range(110)], [0] * 70 + list(range(1, 41))):
+        want = list(range(110)) if known is None else list(known)
+        want = [f"k{x}" for x in want]
+        for i in range(110):
+            for j in range(i):
+                if want[i] != want[j] and near(sets[i], sets[j]):
+                    old, new = want[i], want[j]
+                    want = [new if x == old else x for x in want]
+        got = similar.linked(sets, share, known).tolist()
+        assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def test_one_row_of_repeated_rows_stays(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, "a b c d e f g", "en", "x", 13), (1, "a b c d e f g", "de", "x", 13), (1, "other words in this text here", "en", "x", 9), (2, "a b c d e f g", "en", "x", 13), (3, "a single one of its kind", None, None, None), (None, "a b c d e f g", "en", "x", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((tuple(r) for r in p.one_of_near_duplicates(spark, docs, "").collect()), key=repr)
+    assert got == sorted([rows[1], rows[2], rows[4], rows[5]], key=repr)
 
 
 def test_empty(spark):
