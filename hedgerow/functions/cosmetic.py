@@ -117,9 +117,9 @@ def contamination(line: Column) -> Column:
 
 def positive_hosts(host: Column) -> Column:
     """The distinct lower-case hosts of a rule's scope; null where it has none, or other than plain hosts."""
-    tokens = F.filter(F.transform(F.split(F.lower(host), ",", -1), trim), lambda t: t != "")
-    plain = F.forall(tokens, lambda t: t.rlike(r"\A[a-z0-9._-]+\z") & ~t.startswith("~") & ~t.endswith(".*"))
-    return F.when((F.size(tokens) > 0) & plain, F.array_distinct(tokens))
+    tokens = F.filter(F.transform(F.split(host, ",", -1), trim), lambda t: t != "")
+    plain = F.forall(tokens, lambda t: t.rlike(r"\A[A-Za-z0-9.-]+\z"))
+    return F.when((F.size(tokens) > 0) & plain, F.array_distinct(F.transform(tokens, F.lower)))
 
 
 def class_id_tokens(line: Column) -> Column:

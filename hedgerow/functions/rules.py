@@ -62,7 +62,7 @@ def with_options(pattern: Column, options: Column) -> Column:
 
 def canonical_resource(value: Column) -> Column:
     """A redirect resource's canonical name: without its prefix, aliases resolved."""
-    known = F.create_map(*[F.lit(x) for name, others in T.RESOURCE_ALIASES.items() for other in others for x in (other, name)])
+    known = F.create_map(*[F.lit(x) for pair in T.RESOURCE_ALIASES.items() for x in pair])
     bare = F.regexp_replace(value, r"\Aabp-resource:", "")
     return F.coalesce(F.try_element_at(known, bare), bare)
 

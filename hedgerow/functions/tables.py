@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
-#: Canonical redirect resources and their aliases (fixed values).
-RESOURCE_ALIASES: dict[str, tuple[str, ...]] = {
-    "1x1.gif": ("1x1-transparent.gif",),
-    "2x2.png": ("2x2-transparent.png",),
-    "3x2.png": ("3x2-transparent.png",),
-    "32x32.png": ("32x32-transparent.png",),
-    "noop.js": ("noopjs", "blank-js"),
-    "noop.txt": ("nooptext",),
-    "noop.html": ("noopframe",),
-    "noop.json": ("noopjson",),
-    "noop-1s.mp4": ("noopmp4-1s", "blank-mp4"),
-    "noop-2s.mp4": ("noopmp4-2s",),
-    "noop-3s.mp4": ("noopmp4-3s",),
-    "noop-0.1s.mp3": ("noopmp3-0.1s", "blank-mp3"),
-    "noop-0.5s.mp3": ("noopmp3-0.5s",),
-    "noop-vast2.xml": ("noopvast-2.0",),
-    "noop-vast3.xml": ("noopvast-3.0",),
-    "noop-vast4.xml": ("noopvast-4.0",),
-    "noop-vmap1.xml": ("noopvmap-1.0", "noop-vmap1.0.xml"),
-    "amazon_ads.js": ("amazon-adsystem.com/aax2/amzn_ads.js",),
-    "ampproject_v0.js": ("ampproject.org/v0.js",),
-    "doubleclick_instream_ad_status.js": ("doubleclick.net/instream/ad_status.js",),
-    "google-analytics_cx_api.js": ("google-analytics.com/cx/api.js",),
-    "google-analytics_ga.js": ("google-analytics.com/ga.js",),
-    "google-analytics_inpage_linkid.js": ("google-analytics.com/inpage_linkid.js",),
-    "chartbeat.js": ("static.chartbeat.com/chartbeat.js",),
-    "google-ima.js": ("google-ima3",),
-    "outbrain-widget.js": ("widgets.outbrain.com/outbrain.js",),
-    "popads.js": ("popads.net.js", "prevent-popads-net.js"),
-    "scorecardresearch_beacon.js": ("scorecardresearch.com/beacon.js",),
+#: Aliases of redirect resources and the names that they stand for (fixed values).
+RESOURCE_ALIASES: dict[str, str] = {
+    "1x1-transparent.gif": "1x1.gif",
+    "2x2-transparent.png": "2x2.png",
+    "3x2-transparent.png": "3x2.png",
+    "32x32-transparent.png": "32x32.png",
+    "noopjs": "noop.js",
+    "blank-js": "noop.js",
+    "nooptext": "noop.txt",
+    "noopframe": "noop.html",
+    "noopjson": "noop.json",
+    "noopmp4-1s": "noop-1s.mp4",
+    "blank-mp4": "noop-1s.mp4",
+    "noopmp4-2s": "noop-2s.mp4",
+    "noopmp4-3s": "noop-3s.mp4",
+    "noopmp3-0.1s": "noop-0.1s.mp3",
+    "blank-mp3": "noop-0.1s.mp3",
+    "noopmp3-0.5s": "noop-0.5s.mp3",
+    "noopvast-2.0": "noop-vast2.xml",
+    "noopvast-3.0": "noop-vast3.xml",
+    "noopvast-4.0": "noop-vast4.xml",
+    "noopvmap-1.0": "noop-vmap1.xml",
+    "noop-vmap1.0.xml": "noop-vmap1.xml",
+    "amazon-adsystem.com/aax2/amzn_ads.js": "amazon_ads.js",
+    "ampproject.org/v0.js": "ampproject_v0.js",
+    "doubleclick.net/instream/ad_status.js": "doubleclick_instream_ad_status.js",
+    "google-analytics.com/cx/api.js": "google-analytics_cx_api.js",
+    "google-analytics.com/ga.js": "google-analytics_ga.js",
+    "google-analytics.com/inpage_linkid.js": "google-analytics_inpage_linkid.js",
+    "static.chartbeat.com/chartbeat.js": "chartbeat.js",
+    "google-ima3": "google-ima.js",
+    "widgets.outbrain.com/outbrain.js": "outbrain-widget.js",
+    "popads.net.js": "popads.js",
+    "prevent-popads-net.js": "popads.js",
+    "scorecardresearch.com/beacon.js": "scorecardresearch_beacon.js",
 }
 
 #: Resources that a redirect may name by default (fixed values).

@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame
 def stored(table: DataFrame) -> DataFrame:
     """The table's rows, computed once and kept in the shared checkpoint folder; they outlive lost executors.
 
-    The folder is ``spark.checkpoint.dir``; an own one is set only where that is unset, as in tests.
+    The folder is ``spark.checkpoint.dir``. Where that is unset, a local session, whose executors are the driver itself,
+    gets a folder of its own; on a cluster that is an error.
     """
     sc = table.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="hedgerow-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="hedgerow-")
+        sc.setCheckpointDir(folder)
     return table.checkpoint()

@@ -69,29 +69,43 @@ def scoped_subsume(table: DataFrame) -> DataFrame:
 
 
 def registrable(host: Column, suffixes: Sequence[str] = T.PUBLIC_SUFFIXES) -> Column:
-    """The public suffix of a host and one label more; null where there is none."""
+    """The public suffix of a host and one label more; null where there is none. A host under no suffix of the table has
+    its last label for one. ``*.x`` stands for every label below x, but for those named as ``!y.x``."""
     parents = rules.label_suffixes(host)
-    public = F.array(*[F.lit(s) for s in suffixes])
-    at = F.array_min(F.filter(F.transform(parents, lambda p, i: F.when(F.array_contains(public, p), i)), lambda i: i.isNotNull()))
+    public = F.split(F.lit("\n".join(suffixes)), "\n")
+    known = lambda p: F.array_contains(public, p)
+    if any(s.startswith(("*.", "!")) for s in suffixes):
+        below = lambda p: F.array_contains(public, F.concat(F.lit("*."), F.regexp_replace(p, r"\A[^.]*\.", ""))) & p.contains(".")
+        known = lambda p: (F.array_contains(public, p) | below(p)) & ~F.array_contains(public, F.concat(F.lit("!"), p))
+    at = F.array_min(F.filter(F.transform(parents, lambda p, i: F.when(known(p), i)), lambda i: i.isNotNull()))
+    at = F.coalesce(at, F.size(parents) - 1)
     return F.when(at > 0, F.get(parents, at - 1))
 
 
 def cosmetic_subsume(table: DataFrame, suffixes: Sequence[str] = T.PUBLIC_SUFFIXES) -> DataFrame:
     """Without host-scoped plain cosmetic rules that another with the same selector covers: each of its hosts is one of
-    the other's, or below one, within its registrable domain. Rules that cover each other both stay."""
+    the other's, or below one, within its registrable domain. Rules that cover each other both stay.
+
+    Rules with the same selector and hosts are looked at once. A set of hosts is joined to those that may cover it by the
+    one host of it that the fewest sets name or are above, so a host that many rules name brings no pairs by itself.
+    """
     line = F.col("rule")
     parts = cosmetic.split_rule(line)
     plain = parts.isNotNull() & ~parts["selector"].rlike(cosmetic._PROCEDURAL)
-    scoped = table.withColumn("sep", F.when(plain, parts["sep"])).withColumn("selector", F.when(plain, parts["selector"])).withColumn("hosts", F.when(plain, cosmetic.positive_hosts(parts["host"])))
-    rows = scoped.filter("hosts is not null").select("rule", "sep", "selector", "hosts").distinct()
-    tokens = rows.select("sep", "selector", F.col("rule").alias("cover"), F.explode("hosts").alias("up"))
-    below = rows.select("sep", "selector", "rule", F.size("hosts").alias("n"), F.explode("hosts").alias("token"))
-    reach = F.filter(rules.label_suffixes(F.col("token")), lambda s: F.length(s) >= F.length(registrable(F.col("token"), suffixes)))
-    below = below.select("*", F.explode(reach).alias("up"))
-    pairs = below.join(tokens, ["sep", "selector", "up"]).filter("cover <> rule").groupBy("cover", "rule", "n").agg(F.countDistinct("token").alias("m")).filter("m = n").select("cover", "rule")
-    mutual = pairs.select(F.col("rule").alias("cover"), F.col("cover").alias("rule"))
-    gone = pairs.join(mutual, ["cover", "rule"], "left_anti").select("rule").distinct()
-    return table.join(gone, "rule", "left_anti").select(*table.columns)
+    scoped = table.withColumn("sep", F.when(plain, parts["sep"])).withColumn("selector", F.when(plain, parts["selector"])).withColumn("hosts", F.array_sort(F.when(plain, cosmetic.positive_hosts(parts["host"]))))
+    reach = lambda token: F.filter(rules.label_suffixes(token), lambda s: F.length(s) >= F.length(registrable(token, suffixes)))
+    key = ["sep", "selector"]
+    # stored: sets, what they name and what they are below are read from it
+    sets = stored(scoped.filter("hosts is not null").select(*key, "hosts").distinct().withColumn("reach", F.transform("hosts", reach)))
+    tokens = sets.select(*key, F.col("hosts").alias("cover"), F.col("reach").alias("above"), F.explode("hosts").alias("up"))
+    named = tokens.groupBy(*key, "up").agg(F.count("*").alias("n"))
+    below = sets.select(*key, "hosts", F.posexplode("reach").alias("i", "ups")).select(*key, "hosts", "i", F.explode("ups").alias("up"))
+    few = below.join(named, [*key, "up"]).groupBy(*key, "hosts", "i").agg(F.sum("n").alias("n")).groupBy(*key, "hosts").agg(F.min_by("i", F.struct("n", "i")).alias("i"))
+    covers = lambda by, ups: F.forall(ups, lambda u: F.arrays_overlap(u, by))
+    asked = sets.join(few, [*key, "hosts"]).select(*key, "hosts", "reach", F.explode(F.get("reach", F.col("i"))).alias("up"))
+    pairs = asked.join(tokens, [*key, "up"]).filter(F.col("cover") != F.col("hosts"))
+    gone = pairs.filter(covers(F.col("cover"), F.col("reach")) & ~covers(F.col("hosts"), F.col("above"))).select(*key, "hosts").distinct()
+    return scoped.join(gone, [*key, "hosts"], "left_anti").select(*table.columns)
 
 
 def convert_carets(table: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify
+from ..operators.storage import stored
 from ..sources.lists import Config, Fetcher
 from ..sources.sink import header, write_list
 from .optimize import optimize
@@ -21,10 +22,10 @@ def summaries(fetched: DataFrame, found: DataFrame) -> DataFrame:
 
 def build(spark: SparkSession, config: Config, output: str | None = None, fetcher: Fetcher | None = None) -> DataFrame:
     """Fetches, classifies, optimizes and writes; returns the one row of optimizer counters."""
-    fetched = (fetcher or Fetcher(config.fetch)).fetch_all(spark, config.lists).cache()
+    fetched = (fetcher or Fetcher(config.fetch)).fetch_all(spark, config.lists)
     lines = classify.split_lines(fetched.filter("ok"), "text", "list_id", "hosts")
     f = config.filter
-    found = classify.classified(lines, f.cosmetic_compat, f.scriptlets, f.redirect_allowlist).cache()  # feeds rules and counters
+    found = stored(classify.classified(lines, f.cosmetic_compat, f.scriptlets, f.redirect_allowlist))  # feeds rules and counters
     done = optimize(classify.kept(found), f.cosmetic_compat, f.network_optimize)
     rows, counters = summaries(fetched, found).collect(), done.counted()
     totals = {c: sum(r[c] for r in rows) for c in classify.COUNTERS} | counters.first().asDict()

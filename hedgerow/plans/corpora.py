@@ -29,6 +29,9 @@ CORPORA: dict[str, str] = {
     # host-scoped cosmetic rules
     "F6": f"""SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '[^./]+[.][a-z]+[.](?:com|net|org)', 0) WHEN 1 THEN {_HOST} ELSE 'x.' || {_HOST} END
         || CASE WHEN page_id % 2 = 0 THEN '##' ELSE '#@#' END || '.ad' AS line FROM {{pages}}""",
+    # host-scoped cosmetic rules under suffixes that no table names, lists of hosts, hosts that aren't plain
+    "F7": """SELECT DISTINCT CASE page_id % 6 WHEN 0 THEN 'site' || k || '.ru' WHEN 1 THEN 'www.site' || k || '.ru' WHEN 2 THEN 'site' || k || '.jp,www.site' || k || '.jp' WHEN 3 THEN 'a_b.site' || k || '.ru'
+        WHEN 4 THEN 'M.site' || k || '.jp' ELSE 'ru,m.site' || k || '.jp' END || '##.ad' AS line FROM (SELECT page_id, CAST(page_id % 37 AS STRING) AS k FROM {pages}) p""",
     # many host and path rules
     "F8": """SELECT DISTINCT '||' || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 's' || CAST(l_suppkey % 50 AS STRING) || '.' END || 'p' || CAST(l_partkey AS STRING) || '.example.com'
         || CASE WHEN l_quantity > 45 THEN '' ELSE '/o' || CAST(l_orderkey % 100 AS STRING) || CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE '/l' || CAST(l_linenumber AS STRING) END END || '^' AS rule

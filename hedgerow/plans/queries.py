@@ -246,6 +246,15 @@ def cosmetic_subsume(spark: SparkSession, d: str) -> DataFrame:
     return subsume.cosmetic_subsume(_table(spark, d, "F6")).select("rule")
 
 
+_COVERS = """len(list_filter({b}.t, lambda x: len(list_filter({a}.t, lambda p: (x = p OR ends_with(x, '.' || p)) AND ends_with('.' || p, '.' || array_to_string(string_split(x, '.')[-2:], '.')))) = 0)) = 0"""
+
+
+@_query(f"""WITH c AS (SELECT line, CASE WHEN line NOT LIKE '%\\_%' ESCAPE '\\' THEN string_split(lower(split_part(line, '##', 1)), ',') END AS t FROM ({sql('F7')}))
+    SELECT line AS rule FROM c b WHERE t IS NULL OR NOT EXISTS (SELECT 1 FROM c a WHERE a.t IS NOT NULL AND a.line <> b.line AND {_COVERS.format(a='a', b='b')} AND NOT {_COVERS.format(a='b', b='a')})""")
+def cosmetic_subsume_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return subsume.cosmetic_subsume(_table(spark, d, "F7")).select("rule")
+
+
 @_query(f"SELECT DISTINCT CASE WHEN starts_with(t, '.') THEN 'class' ELSE 'id' END AS kind, t[2:] AS token FROM (SELECT unnest(regexp_extract_all(regexp_extract(line, '#@?#(.*)$', 1), '[.#][A-Za-z0-9_-]+')) AS t FROM ({sql('F5')}))")
 def class_id_tokens(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d, "F5").select(F.explode(cosmetic.class_id_tokens(F.col("line"))).alias("t")).select("t.*").distinct()

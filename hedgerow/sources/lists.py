@@ -181,6 +181,12 @@ def include_url(base: str, reference: str) -> str | None:
     return url if urlsplit(url).scheme in ("http", "https") else None
 
 
+def text_lines(text: str) -> list[str]:
+    """The lines of a text: they end at a line feed, with or without a carriage return before it, and nowhere else."""
+    lines = text.split("\n")
+    return [x.removesuffix("\r") for x in (lines if lines[-1] else lines[:-1])]
+
+
 def expand_includes(text: str, url: str, get: Callable[[str], str], depth: int) -> tuple[str, int]:
     """A text with each include line replaced by what it names, depth first. A file is included once for each list;
     what can't be included becomes a comment that says why."""
@@ -189,7 +195,7 @@ def expand_includes(text: str, url: str, get: Callable[[str], str], depth: int)
     def walk(text: str, url: str, level: int) -> list[str]:
         nonlocal count
         out = []
-        for line in text.splitlines() if "\r" not in text else text.replace("\r\n", "\n").split("\n"):
+        for line in text_lines(text):
             reference = include_reference(line)
             if reference is None:
                 out.append(line)
@@ -216,6 +222,14 @@ def expand_includes(text: str, url: str, get: Callable[[str], str], depth: int)
     return "\n".join(lines) + "\n" if lines else "", count
 
 
+def read_suffixes(path: str) -> tuple[str, ...]:
+    """The public suffixes of a file, one a line; comments and what stands after white space are skipped. The forms
+    ``*.x`` (every label below x) and ``!y.x`` (not this one) are kept as they are."""
+    with open(path, encoding="utf-8") as f:
+        rows = [x.split()[0] for x in text_lines(f.read()) if x.split() and not x.lstrip().startswith("//")]
+    return tuple(dict.fromkeys(x.lower().strip(".") for x in rows))
+
+
 def read_lists(spark: SparkSession, paths: list[str] | str, hosts: bool = False) -> DataFrame:
     """(path, text, hosts): whole list files, read by Spark."""
     return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"), F.lit(hosts).alias("hosts"))

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Row
 
 from ..operators.classify import COUNTERS
+from ..operators.storage import stored
 from .lists import OutputConfig
 
 _NOTES = (
@@ -38,9 +39,10 @@ def header(config: OutputConfig, summaries: list[Row], totals: dict[str, int], n
 def write_list(rules: DataFrame, path: str, lines: list[str]) -> int:
     """Writes header lines and rules(rule, ord_key) in order; an empty list is an error and writes nothing.
 
-    Rules stream to the driver partition by partition, so none of its memory grows with the list.
+    The rules are stored first, so what made them runs once. They stream to the driver partition by partition, so none
+    of its memory grows with the list.
     """
-    ordered = rules.orderBy("ord_key", "rule").select("rule")
+    ordered = stored(rules.select("ord_key", "rule")).orderBy("ord_key", "rule").select("rule")
     if ordered.isEmpty():
         raise ValueError("no rules to write")
     part, n = Path(f"{path}.part"), 0

@@ -78,6 +78,30 @@ def test_cosmetic_subsume(spark):
     assert f(keep) == sorted(keep)
 
 
+def test_cosmetic_subsume_by_default_suffix_and_plain_hosts(spark):
+    f = lambda rules, **k: left(subsume.cosmetic_subsume(table(spark, rules), **k))
+    assert f(["shop.ru##.ad", "www.shop.ru##.ad", "ru##.ad"]) == ["ru##.ad", "shop.ru##.ad"]
+    same = ["shop.jp##.ad", "a_b.shop.jp##.ad", "x.\u212aiosk.jp##.ad", "kiosk.jp##.ad"]  # not plain hosts: left alone
+    assert f(same) == sorted(same)
+    assert f(["a.b.ck##.x", "b.ck##.x", "c.www.ck##.x", "www.ck##.x"], suffixes=("*.ck", "!www.ck")) == ["a.b.ck##.x", "b.ck##.x", "www.ck##.x"]
+
+
+def test_many_rules_with_one_popular_host(spark):
+    """Each names one popular host and one of its own: covered only where the other is."""
+    rules = [f"popular.com,h{i}.com##.ad" for i in range(300)] + ["popular.com,www.h7.com##.ad", "www.h9.com##.ad"]
+    assert left(subsume.cosmetic_subsume(table(spark, rules))) == sorted(rules[:300])
+
+
+def test_text_lines_and_suffix_file(tmp_path):
+    from hedgerow.sources import lists
+
+    assert lists.text_lines("a\r\nb\r\n") == ["a", "b"] and lists.text_lines("a\x0cb\x85c\u2028d\n\n") == ["a\x0cb\x85c\u2028d", ""]
+    assert lists.text_lines("") == [] and lists.text_lines("a\rb\r\r\nc") == ["a\rb\r", "c"]
+    assert lists.expand_includes("a\r\nb\r\n", "https://x.test/l.txt", lambda u: "", 2) == ("a\nb\n", 0)
+    (tmp_path / "s").write_text("// note\ncom\n\nCO.uk extra\n*.ck\n!www.ck\n")
+    assert lists.read_suffixes(str(tmp_path / "s")) == ("com", "co.uk", "*.ck", "!www.ck")
+
+
 def test_optimize(spark):
     lines = lambda *r: spark.createDataFrame([(x,) for x in r], "rule string")
     done = optimize(lines("b", "a", "b", "c"), False, False)
