@@ -1,4 +1,4 @@
-"""Connected components of a graph given by its links, by alternating large and small stars."""
+"""Connected components of a graph given by its links between longs, by alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from .common import delete, made, written
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m): each node's least neighbour. Grouped under another form of the node, so that a join by node exchanges both
+    its sides: only then does adaptive execution split the links of a node that has very many."""
+    return edges.groupBy(F.bitwise_not("a").alias("node")).agg(F.min("b").alias("m")).select(F.bitwise_not("node").alias("a"), "m")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Links each node's larger neighbours to the least of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = _least(both).select("a", F.least("a", "m").alias("m"))
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them; every link has a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(edges)
     rest = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return rest.union(least.select("a", F.col("m").alias("b"))).distinct()
 

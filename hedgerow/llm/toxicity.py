@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -83,11 +83,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
             n = pa.array([len(x) for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), n, pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "y", "n", "terms"])
 
-    rows = written(in_batches(texts, terms, _SCHEMA_TERMS), "labelled-terms").withColumn("hash", F.xxhash64("terms"))
-    # the sample's ids alone meet in a task, once for each class
-    so_far = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "hash").rowsBetween(Window.unboundedPreceding, 0)
-    within = rows.select("doc_id", "y", "hash", "n").withColumn("sum", F.sum("n").over(so_far)).filter(F.col("sum") <= SAMPLE_TERMS)
-    return rows.join(within.select("doc_id", "y", "hash").distinct(), ["doc_id", "y", "hash"], "left_semi").drop("hash")
+    rows = written(in_batches(texts, terms, _SCHEMA_TERMS), "labelled-terms").withColumn("at", F.struct(F.xxhash64("doc_id").alias("key"), "doc_id", F.xxhash64("terms").alias("hash")))
+    # numbers of the sample's rows alone, to see how far its terms go
+    sizes = rows.select("y", "at.*", "n").distinct().toArrow().sort_by([(c, "ascending") for c in ("y", "key", "doc_id", "hash")])
+    for y in (0, 1):
+        own = sizes.filter(pa.compute.equal(sizes["y"], y))
+        over = np.flatnonzero(np.cumsum(own["n"].to_numpy()) > SAMPLE_TERMS)
+        if len(over):
+            end = own.slice(int(over[0]), 1).to_pylist()[0]
+            rows = rows.filter((F.col("y") != y) | (F.col("at") < F.struct(*[F.lit(end[c]).alias(c) for c in ("key", "doc_id", "hash")])))
+    return rows.drop("at")
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
