@@ -128,8 +128,9 @@ def adversarial_corpus(before: DataFrame, rewritten: DataFrame, after: DataFrame
 
 
 def compare_cosmetic(pages: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """(host, only_before, only_after): hosts whose hidden or spared selectors differ, with up to five of each side."""
-    side = lambda t, n: cosmetic_resources(pages, t).select("host", F.split(F.concat_ws("\n", "hide", "exceptions"), "\n").alias(n))
+    """(host, only_before, only_after): hosts whose hidden or spared (marked #@#) selectors differ, with up to five of each side."""
+    named = lambda c, mark: F.transform(F.filter(F.split(c, "\n"), lambda x: x != ""), lambda x: F.concat(F.lit(mark), x))
+    side = lambda t, n: cosmetic_resources(pages, t).select("host", F.concat(named("hide", ""), named("exceptions", "#@#")).alias(n))
     both = side(before, "a").join(side(after, "b"), "host", "full")
     none = F.array().cast("array<string>")
     a, b = F.coalesce("a", none), F.coalesce("b", none)

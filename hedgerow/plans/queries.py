@@ -336,6 +336,14 @@ def equivalence_cosmetic(spark: SparkSession, d: str) -> DataFrame:
     return audit.compare_cosmetic(spark.read.parquet(f"{d}/pages.parquet").select("url"), before, subsume.cosmetic_subsume(before))
 
 
+@_query(f"""WITH c AS ({_SCOPED}), u AS (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h FROM pages),
+    m AS (SELECT h AS host, bool_or(sep = '##') AS hidden FROM u JOIN c ON u.h = c.host OR ends_with(u.h, '.' || c.host) GROUP BY h HAVING bool_or(sep = '#@#'))
+    SELECT host, '#@#.ad' AS only_before, CASE WHEN hidden THEN '.ad' ELSE '' END AS only_after FROM m""")
+def equivalence_cosmetic_without_exceptions(spark: SparkSession, d: str) -> DataFrame:
+    before = _table(spark, d, "F6")
+    return audit.compare_cosmetic(spark.read.parquet(f"{d}/pages.parquet").select("url"), before, before.filter(~F.col("rule").contains("#@#")))
+
+
 _GONE = f"SELECT rule FROM ({sql('F1')}) WHERE rule NOT IN ({_subsumed(sql('F1'))}) UNION SELECT rule FROM ({_BEST}) WHERE best <> rule"
 
 
