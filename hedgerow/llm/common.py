@@ -64,16 +64,19 @@ def _place(spark: SparkSession, path: str):  # noqa: ANN202
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for one run's files in the shared folder. They go when the driver's JVM ends, if not before."""
-    path = f"{shared_dir(spark).rstrip('/')}/hedgerow-{name}-{uuid.uuid4().hex}"
+    """A new path for one run's files in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/hedgerow-{name}-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Scratch files that were written at a path go when the driver's JVM ends, if not before."""
     fs, at = _place(spark, path)
     fs.deleteOnExit(at)
     made(spark).append(path)
-    return path
 
 
 def made(spark: SparkSession) -> list[str]:
-    """The paths that scratch_path() has given out and that weren't deleted, oldest first."""
+    """The scratch files that were written and that weren't deleted, oldest first."""
     sc = spark.sparkContext
     if not hasattr(sc, "hedgerow_made"):
         sc.hedgerow_made = []
@@ -94,6 +97,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, impact, lines, mixing, pii, simhash, substrings, tokens, toxicity
-from .common import scratch_path, table, written
+from .common import scratch_path, table, until_exit, written
 
 
 def vocabulary() -> str:
@@ -21,6 +21,7 @@ def vocabulary() -> str:
 def op1_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokens.write(table(spark, sf_dir, "documents"), path, vocabulary())
+    until_exit(spark, path)
     stored = tokens.read(spark, path)
     found = tokens.with_start(tokens.checksums(stored), stored)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
