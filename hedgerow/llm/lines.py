@@ -145,17 +145,20 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS, text_col: s
 
 
 def oracle_sql(run: int = RUN, words: int = WORDS) -> str:
-    """DuckDB SQL of the query, by window functions over all lines; it has no ``passages``."""
-    lead = lambda i: f"lead(l, {i}) OVER w" if i else "l"
+    """DuckDB SQL of the query, by window functions over all lines."""
+
+    def later(lines: int, where: str) -> str:
+        return f"SELECT doc_id, i AS s, e{lines} AS e FROM (SELECT doc_id, i, e{lines}, row_number() OVER (PARTITION BY {', '.join(f'l{k}' for k in range(lines))} ORDER BY doc_id, i) AS n FROM win WHERE {where}) WHERE n > 1"
+
+    ahead = ", ".join(f"lead(l, {k}) OVER w AS l{k}, lead(n_words, {k}) OVER w AS n{k}, lead(i, {k}) OVER w AS e{k + 1}" for k in range(run))
+    passages = [later(n, f"e{n} IS NOT NULL AND {' + '.join(f'n{k}' for k in range(n))} >= {words}") for n in range(1, run)]
     return f"""
 WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 line AS (SELECT doc_id, i, ls[i] AS raw, trim(ls[i], ' ' || chr(9) || chr(13)) AS l FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM x)),
-full_ AS (SELECT * FROM line WHERE l <> ''),
-win AS (SELECT doc_id, i, {", ".join(f"{lead(i)} AS l{i}" for i in range(run))}, lead(i, {run - 1}) OVER w AS e FROM full_ WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+full_ AS (SELECT *, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS n_words FROM line WHERE l <> ''),
+win AS (SELECT doc_id, i, {ahead} FROM full_ WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 span AS (
-  SELECT doc_id, i AS s, e FROM (SELECT doc_id, i, e, row_number() OVER (PARTITION BY {", ".join(f"l{i}" for i in range(run))} ORDER BY doc_id, i) AS n FROM win WHERE e IS NOT NULL) WHERE n > 1
-  UNION ALL
-  SELECT doc_id, i, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY l ORDER BY doc_id, i) AS n FROM full_ WHERE len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) >= {words}) WHERE n > 1),
+  {(chr(10) + "  UNION ALL" + chr(10) + "  ").join([later(run, f"e{run} IS NOT NULL"), *passages])}),
 gone AS (SELECT DISTINCT f.doc_id, f.i FROM full_ f JOIN span s ON f.doc_id = s.doc_id AND f.i BETWEEN s.s AND s.e)
 SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, sha256(coalesce(string_agg(CASE WHEN g.i IS NULL THEN l.raw END, chr(10) ORDER BY l.i), '')) AS kept_sha256
 FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id

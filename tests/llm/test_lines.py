@@ -3,7 +3,7 @@ import numpy as np
 from hedgerow.llm import lines
 
 
-def brute(rows, run, words):
+def brute(rows, run, words, passages):
     """Every window of lines against all others, by plain dictionaries."""
     docs = {(d, t or "") for d, t in rows}
     order = lambda k: (k[0] is not None, k[0] or 0)
@@ -11,6 +11,9 @@ def brute(rows, run, words):
     for d, t in sorted(docs, key=order):
         full = [(i, x.strip(" \t\r")) for i, x in enumerate(t.split("\n")) if x.strip(" \t\r")]
         units = [full[s : s + run] for s in range(len(full) - run + 1)] + [[x] for x in full if len(x[1].split()) >= words]
+        if passages:
+            pieces = [full[s : s + n] for n in range(2, run) for s in range(len(full) - n + 1)]
+            units += [u for u in pieces if sum(len(x.split()) for _, x in u) >= words]
         for u in units:
             key, at = tuple(x for _, x in u), (d, t, u[0][0])
             if seen.setdefault(key, at) != at:
@@ -35,8 +38,9 @@ def test_matches_brute_force(spark):
     long = " ".join(f"w{i}" for i in range(12))
     rows += [(500, f"start\n{long}\nend"), (501, f"{long}\r"), (502, None), (503, ""), (504, "a\na\na\na\na\na"), (505, rows[3][1]), (505, rows[3][1]), (None, rows[4][1]), (506, "x\n" * 4000)]
     docs = spark.createDataFrame([(d, t, "r", "k", 9) for d, t in rows], "doc_id long, text string, run string, kept string, row int")
-    assert got(lines.dedup_lines(docs, run=3, words=10)) == brute(rows, 3, 10)
-    assert got(lines.dedup_lines(docs, run=1, words=10)) == brute(rows, 1, 10)
+    assert got(lines.dedup_lines(docs, run=3, words=10, passages=False)) == brute(rows, 3, 10, False)
+    for run, words in ((3, 10), (3, 4), (4, 6), (1, 10)):
+        assert got(lines.dedup_lines(docs, run=run, words=words)) == brute(rows, run, words, True)
 
 
 def test_other_columns_stay_and_empty(spark):
