@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cosmetic, rules
-from .match import cosmetic_resources, network_match
+from .match import cosmetic_resources
+from .requests import check_requests
 from .storage import stored
 
 #: Hosts that every audit probes (fixed values).
@@ -15,6 +16,8 @@ PROBED_HOSTS = (
     "www.amazon.com", "x.com", "github.com", "docs.rs", "developer.mozilla.org", "mail.google.com", "news.ycombinator.com",
     "stackoverflow.com", "www.netflix.com", "store.steampowered.com", "play.google.com", "apis.google.com", "google.com", "youtube.com", "facebook.com",
 )
+#: The page that audits' requests come from (a fixed value).
+PROBING_SITE = "https://www.example.com/"
 MAX_HOSTS, SAMPLE = 20_000, 50_000
 
 
@@ -89,10 +92,15 @@ def contamination(table: DataFrame) -> DataFrame:
     return table.select("rule", cosmetic.contamination(F.col("rule")).alias("problem")).filter("problem is not null")
 
 
+def check_urls(urls: DataFrame, table: DataFrame) -> DataFrame:
+    """check_requests of urls(url) as an audit asks: of no type, from a site of its own."""
+    return check_requests(urls.select("url", F.lit(PROBING_SITE).alias("source"), F.lit("other").alias("type")), table)
+
+
 def liveness(table: DataFrame, sampled: DataFrame) -> DataFrame:
     """One row: sampled rules, dead ones that badfilters explain, other dead ones, verdict."""
     probes = probe_requests(sampled)
-    blocked = network_match(probes, table).select("url", "blocked")
+    blocked = check_urls(probes, table).select("url", "blocked")
     rows = probes.join(blocked, "url").join(badfiltered(table).withColumnRenamed("pattern", "rule").withColumn("expected", F.lit(True)), "rule", "left")
     found = rows.agg(F.count("*").alias("sampled"), F.count_if(~F.col("blocked") & F.col("expected").isNotNull()).alias("expected_dead"), F.count_if(~F.col("blocked") & F.col("expected").isNull()).alias("dead"))
     dirty = contamination(table).agg(F.count("*").alias("contaminated"))
@@ -105,10 +113,12 @@ def growth(now: int, baseline: int) -> tuple[int, float]:
 
 
 def compare_network(before: DataFrame, after: DataFrame, requests: DataFrame) -> DataFrame:
-    """One row: requests, and those on which the two lists differ in blocking or in exceptions."""
-    a = network_match(requests, before).select("url", "blocked", "exception")
-    b = network_match(requests, after).select("url", F.col("blocked").alias("b2"), F.col("exception").alias("e2"))
-    return a.join(b, "url", "full").agg(F.count("*").alias("requests"), F.count_if(~(F.col("blocked").eqNullSafe(F.col("b2")) & F.col("exception").eqNullSafe(F.col("e2")))).alias("mismatches"))
+    """One row: requests, and those on which the two lists differ in blocking, exceptions or redirects."""
+    requests = stored(requests.select("url").distinct())  # each list's answers read it
+    answers = ("blocked", "exception", "redirect")
+    side = lambda t, n: check_urls(requests, t).select("url", F.struct(*answers).alias(n))
+    both = side(before, "a").join(side(after, "b"), "url", "full")
+    return both.agg(F.count("*").alias("requests"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("mismatches"))
 
 
 def serialized(table: DataFrame) -> DataFrame:

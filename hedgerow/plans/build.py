@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import json
+import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,13 @@ from ..sources.lists import Config, Fetcher
 from ..sources.sink import header, write_list
 from .optimize import optimize
 
+LOG = logging.getLogger("hedgerow.build")
+
+
+def event(what: str, **values: object) -> None:
+    """One event of the run as a line of JSON."""
+    LOG.info(json.dumps({"event": what, **values}))
+
 
 def summaries(fetched: DataFrame, found: DataFrame) -> DataFrame:
     """A row for each list with its counters (zero for lists that failed)."""
@@ -22,14 +31,23 @@ def summaries(fetched: DataFrame, found: DataFrame) -> DataFrame:
 
 def build(spark: SparkSession, config: Config, output: str | None = None, fetcher: Fetcher | None = None) -> DataFrame:
     """Fetches, classifies, optimizes and writes; returns the one row of optimizer counters."""
-    fetched = (fetcher or Fetcher(config.fetch)).fetch_all(spark, config.lists)
+    fetcher = fetcher or Fetcher(config.fetch)
+    fetched = fetcher.fetch_all(spark, config.lists)
     lines = classify.split_lines(fetched.filter("ok"), "text", "list_id", "hosts")
     f = config.filter
     found = stored(classify.classified(lines, f.cosmetic_compat, f.scriptlets, f.redirect_allowlist))  # feeds rules and counters
     done = optimize(classify.kept(found), f.cosmetic_compat, f.network_optimize)
     rows, counters = summaries(fetched, found).collect(), done.counted()
+    for r in rows:
+        if r["ok"]:
+            event("analyzed", list=r["name"], bytes=r["bytes"], included_files=r["included_files"], **{c: r[c] for c in classify.COUNTERS})
+        else:
+            event("failed", list=r["name"])
     totals = {c: sum(r[c] for r in rows) for c in classify.COUNTERS} | counters.first().asDict()
-    write_list(done.rules, output or config.output.file, header(config.output, rows, totals))
+    ok = sum(r["ok"] for r in rows)
+    event("optimized", sources_fetched=ok, sources_failed=len(rows) - ok, bytes_transferred=fetcher.bytes_transferred, **totals)
+    final = write_list(done.rules, output or config.output.file, header(config.output, rows, totals))
+    event("written", final_rules=final)
     return counters
 
 
@@ -44,6 +62,7 @@ def main(argv: list[str] | None = None) -> None:
     args.add_argument("-c", "--config", default="lists.toml")
     args.add_argument("-o", "--output")
     found = args.parse_args(argv)
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     build(SparkSession.builder.getOrCreate(), Config.load(found.config), found.output).show(truncate=False)
 
 

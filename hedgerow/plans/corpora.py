@@ -8,6 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 _HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 
+#: Rules for matching: what stands before and after a host. Rows of ``FREE`` have no host.
+MATCHED = (
+    ("||", "^$third-party"), ("@@||", "^$script"), ("||", "/en/*page=$image,script"), ("||", "^$important,script"), ("@@||", "^$~image"), ("||", "^$redirect=noopjs,script"),
+    ("|https://", "/fr/"), ("||", "^$~image,domain=a.test|~b.a.test"), ("||", "^"), ("||", "^$document"), ("||", "^$badfilter"), ("||", "^$csp=none"),
+)
+FREE = ("/[?]page=[0-9]+&/$script", "*ref=x|$image", "utm_source=feed", "&ref=$domain=b.a.test", "#top|$document", "/[/$image", "*$websocket", "|http:*/de/$~third-party,image", "@@/EN/9$match-case", "@@/en/8$match-case")
+
+#: Lines that aren't plain rules: what stands before and after a host, and the bucket.
+ODD = (
+    ("", "##.x{ y }", "invalid"), ("||", "^$nosuch=1", "unsupported_options"), ("||", "^$domain=", "invalid"), ("", "##+js()", "unsupported_cosmetic"), ("", "#$#body", "unsupported_cosmetic"), ("! ", "", "unsupported"),
+    ("", "##.a:has-text(b", "invalid"), ("", "##^script", "unsupported_cosmetic"), ("##.a:style(", ")", "unsupported_cosmetic"), ("[", "]", "unsupported"), ("||", "^$domain=a.test|b.test", "network"), ("/", "[0-9]+/", "network"),
+    ("||", "^$redirect=noopjs", "network"), ("||", "^$csp=none", "network"), ("||", "^$redirect=nosuch", "redirects_removed"), ("||", "/ad*$image", "network"), ("||", "^$all", "network"), ("||", "/AD$image", "network"),
+)
+
+
+def _values(rows: tuple[tuple[str, ...], ...]) -> str:
+    return ", ".join(f"({k}, " + ", ".join(f"'{x}'" for x in row) + ")" for k, row in enumerate(rows))
+
+
 CORPORA: dict[str, str] = {
     # host and path rules
     "F1": f"""SELECT DISTINCT '||' || {_HOST} || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/' || regexp_extract(url, '^https?://[^/?#]+/([^/?#]*)', 1)
@@ -41,6 +60,17 @@ CORPORA: dict[str, str] = {
     # mixed case and wildcards
     "F10": f"""SELECT '||' || CASE WHEN page_id % 2 = 0 THEN upper(host) ELSE host END || '^' || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '$script' WHEN 2 THEN '$match-case' ELSE '$all' END AS rule
         FROM (SELECT page_id, {_HOST} AS host FROM {{pages}}) p UNION SELECT '*' || regexp_extract(url, '^https?://([^.]+)', 1) || CASE page_id % 3 WHEN 0 THEN '*' WHEN 1 THEN '' ELSE '*$image' END FROM {{pages}}""",
+    # rules of every form that matching knows
+    "F11": f"""SELECT o.pre || h.host || o.post AS rule FROM (SELECT {_HOST} AS host, min(page_id) AS n FROM {{pages}} GROUP BY {_HOST}) h JOIN (VALUES {_values(MATCHED)}) AS o(k, pre, post) ON (h.n + o.k) % 4 = 0
+        UNION ALL SELECT o.rule FROM (VALUES {_values(tuple((x,) for x in FREE))}) AS o(k, rule)""",
+    # lines that aren't plain rules, and blank ones
+    "F12": f"""SELECT DISTINCT CASE WHEN page_id % 19 = 18 THEN ' ' ELSE o.pre || {_HOST} || o.post END AS line FROM {{pages}} JOIN (VALUES {_values(tuple(r[:2] for r in ODD))}) AS o(k, pre, post) ON page_id % {len(ODD)} = o.k""",
+    # host and path rules of which some are cancelled or excepted
+    "F13": f"""SELECT DISTINCT o.pre || r.rule || o.post AS rule FROM (SELECT DISTINCT '||' || {_HOST} || CASE WHEN page_id % 3 = 0 THEN '' ELSE '/' || regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1) END || '^' AS rule FROM {{pages}}) r
+        JOIN (VALUES (0, '', ''), (1, '', '$badfilter'), (2, '@@', '')) AS o(k, pre, post) ON o.k = 0 OR (o.k = 1 AND length(r.rule) % 3 = 0) OR (o.k = 2 AND length(r.rule) % 5 = 0)""",
+    # what a page of a host is to hide, run and spare
+    "F14": f"""SELECT o.pre || h.host || o.post AS rule FROM (SELECT {_HOST} AS host, min(page_id) AS n FROM {{pages}} GROUP BY {_HOST}) h JOIN (VALUES (0, '', '##.ad'), (1, '', '#@#.ad'), (2, '', '##.x:has-text(y)'),
+        (3, '', '##+js(a, b)'), (4, '', '#@#+js(a, b)'), (5, '@@||', '^$generichide'), (6, '', '##.b')) AS o(k, pre, post) ON (h.n + o.k) % 3 = 0""",
 }
 
 

@@ -31,9 +31,10 @@ class Optimized:
         before_network = "cosmetic" if "cosmetic" in has else "unique"
         changed = self.stages["caret"].agg(F.count_if(F.col("rule") != F.col("ord_key")).alias("caret_converted")) if "caret" in has else None
         if changed is not None:
-            rows = rows.crossJoin(changed)
+            cheaper = rewrite.rewritten(self.stages[before_network]).agg(F.count_if(F.col("sig").isNotNull() & (F.col("best") != F.col("rule"))).alias("rewritten"))
+            rows = rows.crossJoin(changed).crossJoin(cheaper)
         return rows.select(
-            "input", "unique", (F.col("input") - F.col("unique")).alias("duplicates"), less("unique", "cosmetic").alias("cosmetic_subsumed"), less(before_network, "merged").alias("semantic_merged"),
+            "input", "unique", (F.col("input") - F.col("unique")).alias("duplicates"), less("unique", "cosmetic").alias("cosmetic_subsumed"), (F.col("rewritten") if changed is not None else F.lit(0).cast("long")).alias("rewritten"), less(before_network, "merged").alias("semantic_merged"),
             (F.col("caret_converted") if changed is not None else F.lit(0).cast("long")).alias("caret_converted"), less("stripped", "network").alias("network_subsumed"), less("network", "scoped").alias("scoped_subsumed"),
         )
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import cosmetic, rules
 from ..functions import tables as T
-from ..operators import audit, classify, match, rewrite, subsume
+from ..operators import audit, classify, match, requests, rewrite, subsume
+from ..operators.storage import stored
 from ..sources.lists import expand_edges
 from .build import totals
-from .corpora import corpus, sql
+from .corpora import FREE, MATCHED, ODD, corpus, sql
 from .optimize import optimize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -303,7 +304,7 @@ def cosmetic_resources(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""SELECT count(DISTINCT url) AS requests, 0::BIGINT AS mismatches FROM (WITH r AS (SELECT rule FROM ({sql("F1")}) WHERE rule NOT IN ({_subsumed(sql("F1"))})) {_PROBES}{_PARSED})))""")
 def equivalence_network(spark: SparkSession, d: str) -> DataFrame:
     before = _table(spark, d, "F1")
-    after = subsume.network_subsume(before)
+    after = stored(subsume.network_subsume(before))
     removed = before.join(after.select("rule"), "rule", "left_anti")
     return audit.compare_network(before, after, audit.probe_urls(removed).select("url"))
 
@@ -377,3 +378,100 @@ def optimize_pipeline(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def optimize_counters(spark: SparkSession, d: str) -> DataFrame:
     return optimize(corpus(spark, d, "F1", "F2", "F6", "F10")).counted()
+
+
+#: What each of MATCHED and FREE is taken to mean, said apart from the rules: exception, types, third party, site wanted, site barred, important, resource, the regular expression after the host (or whole).
+_ALL = "script image stylesheet object object-subrequest media subdocument ping xmlhttprequest websocket font other popup"
+_END = "([^A-Za-z0-9_.%-]|$)"
+_MEANT = (
+    (False, _ALL + " document", "yes", "", "", False, "", _END), (True, "script", "", "", "", False, "", _END), (False, "image script", "", "", "", False, "", "/en/.*page="), (False, "script", "", "", "", True, "", _END),
+    (True, _ALL.replace("image ", ""), "", "", "", False, "", _END), (False, "script", "", "", "", False, "noop.js", _END), (False, _ALL, "", "", "", False, "", "/fr/"), (False, _ALL.replace("image ", ""), "", "a.test", "b.a.test", False, "", _END),
+    (False, _ALL + " document", "", "", "", False, "", _END), (False, "document", "", "", "", False, "", _END), None, None,
+)
+_MEANT_FREE = (
+    (False, "script", "", "", "", False, "", "(?i)[?]page=[0-9]+&"), (False, "image", "", "", "", False, "", "(?i)ref=x$"), (False, _ALL, "", "", "", False, "", "(?i)utm_source=feed"), (False, _ALL, "", "b.a.test", "", False, "", "(?i)&ref="),
+    (False, "document", "", "", "", False, "", "(?i)#top$"), None, (False, "websocket", "", "", "", False, "", "."), (False, "image", "no", "", "", False, "", "(?i)^http:.*/de/"), (True, _ALL, "", "", "", False, "", "/EN/9"), (True, _ALL, "", "", "", False, "", "/en/8"),
+)
+
+
+def _meant(row: tuple) -> str:
+    return ", ".join(str(x).lower() if isinstance(x, bool) else f"'{x}'" for x in row)
+
+
+_REQUESTS = """SELECT url, CASE page_id % 4 WHEN 0 THEN 'https://b.a.test/' WHEN 1 THEN 'https://a.test/x' WHEN 2 THEN 'https://www.' || regexp_extract(url, '://([^/?#]+)', 1) || '/' END AS source,
+    CASE page_id % 7 WHEN 0 THEN 'script' WHEN 1 THEN 'image' WHEN 2 THEN 'document' WHEN 3 THEN 'websocket' WHEN 4 THEN 'xmlhttprequest' WHEN 5 THEN 'image' ELSE 'other' END AS type FROM {pages}"""
+_CANCELLED = MATCHED.index(("||", "^$badfilter")), MATCHED.index(("||", "^"))
+
+
+@_query(rf"""WITH h AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, min(page_id) AS n FROM pages GROUP BY 1),
+    o(k, pre, exc, types, third, site, barred, important, resource, tail) AS (VALUES {", ".join(f"({k}, '{MATCHED[k][0]}', {_meant(m)})" for k, m in enumerate(_MEANT) if m)}),
+    f(exc, types, third, site, barred, important, resource, re) AS (VALUES {", ".join(f"({_meant(m)})" for m in _MEANT_FREE if m)}),
+    r AS (SELECT exc, types, third, site, barred, important, resource, CASE WHEN pre LIKE '%||' THEN '(?i)^[a-z]+://([^/?#:]*[.])?' ELSE '(?i)^https://' END || replace(host, '.', '[.]') || tail AS re FROM h JOIN o ON (h.n + o.k) % 4 = 0
+        WHERE NOT (k = {_CANCELLED[1]} AND (h.n + {_CANCELLED[0]}) % 4 = 0) UNION ALL SELECT * FROM f),
+    q AS (SELECT DISTINCT url, source, type, coalesce(regexp_extract(source, '://([^/?#:]*)', 1), '') AS s,
+        coalesce(array_to_string(string_split(regexp_extract(url, '://([^/?#:]*)', 1), '.')[-2:], '.') <> array_to_string(string_split(regexp_extract(source, '://([^/?#:]*)', 1), '.')[-2:], '.'), true) AS t FROM ({_REQUESTS.format(pages="pages")})),
+    m AS (SELECT q.url, q.source, q.type, r.* EXCLUDE (types) FROM q JOIN r ON list_contains(string_split(r.types, ' '), q.type) AND (third = '' OR (third = 'yes') = t) AND (site = '' OR s = site OR ends_with(s, '.' || site))
+        AND (barred = '' OR NOT (s = barred OR ends_with(s, '.' || barred))) AND regexp_matches(q.url, r.re)),
+    g AS (SELECT url, source, type, bool_or(NOT exc) AS hit, bool_or(exc) AS exception, bool_or(NOT exc AND important) AS important, min(resource) FILTER (NOT exc AND resource <> '') AS redirect FROM m GROUP BY ALL)
+    SELECT q.url, q.source, q.type, coalesce(hit, false) AS hit, coalesce(exception, false) AS exception, coalesce(important, false) AS important, CASE WHEN important OR NOT exception THEN redirect END AS redirect,
+    coalesce(important OR (hit AND NOT exception), false) AS blocked FROM q LEFT JOIN g ON g.url = q.url AND g.source IS NOT DISTINCT FROM q.source AND g.type = q.type""")
+def network_match_general(spark: SparkSession, d: str) -> DataFrame:
+    return requests.check_requests(spark.sql(_REQUESTS.format(pages=f"parquet.`{d}/pages.parquet`")), corpus(spark, d, "F11"))
+
+
+_ODD = ", ".join(f"({k}, '{pre}', '{post}', '{b}')" for k, (pre, post, b) in enumerate(ODD))
+_ODD_LINES = f"SELECT line, bucket, k FROM ({sql('F12')}) JOIN (VALUES {_ODD}) AS o(k, pre, post, bucket) ON line <> ' ' AND starts_with(line, pre) AND ends_with(line, post) AND regexp_matches(line[strlen(pre) + 1:strlen(line) - strlen(post)], '^[a-z0-9.-]+$')"
+
+
+def _odd(spark: SparkSession, d: str) -> DataFrame:
+    return classify.classified(corpus(spark, d, "F12").select(F.lit("odd").alias("list_id"), F.lit(0).alias("line_no"), F.col("line").alias("raw"), F.lit(False).alias("hosts")))
+
+
+@_query(f"SELECT line, bucket FROM ({_ODD_LINES})")
+def classify_errors(spark: SparkSession, d: str) -> DataFrame:
+    return _odd(spark, d).filter("bucket is not null").select(F.col("raw").alias("line"), "bucket")
+
+
+@_query(f"""SELECT 'odd' AS list_id, (SELECT count(*) FROM ({sql("F12")})) AS total_lines, {", ".join(f"count(*) FILTER (bucket = '{b}') AS {c}" for b, c in [("network", "network_rules"), ("cosmetic", "cosmetic_rules")])},
+    (SELECT count(*) FROM ({sql("F12")}) WHERE line = ' ') AS empty, {", ".join(f"count(*) FILTER (bucket = '{b}') AS {b}" for b in ["unsupported", "invalid", "scriptlets_removed", "redirects_removed"])}, 0::BIGINT AS hosts_converted,
+    {", ".join(f"count(*) FILTER (bucket = '{b}') AS {b}" for b in ["unsupported_options", "unsupported_cosmetic"])}, 0::BIGINT AS cosmetic_transforms FROM ({_ODD_LINES})""")
+def list_stats_errors(spark: SparkSession, d: str) -> DataFrame:
+    return classify.stats(_odd(spark, d), "list_id")
+
+
+@_query(rf"""WITH c AS ({sql("F13")}), r AS (SELECT regexp_replace(rule, '^@@', '') AS rule, starts_with(rule, '@@') AS exc FROM c WHERE rule NOT LIKE '%$badfilter' AND rule || '$badfilter' NOT IN (SELECT rule FROM c)),
+    s AS (SELECT DISTINCT regexp_extract(rule, '{_SIMPLE}', 1) AS host, lower(regexp_extract(rule, '{_SIMPLE}', 3)) AS path, exc FROM r),
+    p AS (SELECT rule, regexp_extract(rule, '{_SIMPLE}', 1) AS host, lower(regexp_extract(rule, '{_SIMPLE}', 3)) AS path FROM c WHERE rule LIKE '||%^'),
+    m AS (SELECT p.rule, bool_or(NOT s.exc) AND NOT bool_or(s.exc) AS blocked FROM p LEFT JOIN s ON (p.host = s.host OR ends_with(p.host, '.' || s.host))
+      AND (s.path = '' OR (starts_with(p.path, s.path) AND NOT regexp_matches(substr(p.path, strlen(s.path) + 1, 1), '[a-z0-9_.%-]'))) GROUP BY p.rule),
+    d AS (SELECT rule, coalesce(blocked, false) AS blocked, rule || '$badfilter' IN (SELECT rule FROM c) AS bad FROM m)
+    SELECT count(*) AS sampled, count(*) FILTER (NOT blocked AND bad) AS expected_dead, count(*) FILTER (NOT blocked AND NOT bad) AS dead, 0::BIGINT AS contaminated, count(*) FILTER (NOT blocked AND NOT bad) = 0 AS passed FROM d""")
+def liveness_failing(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "F13")
+    return audit.liveness(t, t)
+
+
+@_query(f"""WITH h AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, min(page_id) AS n FROM pages GROUP BY 1), u AS (SELECT DISTINCT url, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS ph FROM pages),
+    m AS (SELECT url, {", ".join(f"coalesce(bool_or((n + {k}) % 3 = 0), false) AS k{k}" for k in range(7))} FROM u LEFT JOIN h ON ph = host OR ends_with(ph, '.' || host) GROUP BY url)
+    SELECT url, concat_ws(chr(10), CASE WHEN k0 AND NOT k1 THEN '.ad' END, CASE WHEN k6 THEN '.b' END) AS hide, CASE WHEN k2 THEN '.x:has-text(y)' ELSE '' END AS procedural,
+    CASE WHEN k3 AND NOT k4 THEN '+js(a, b)' ELSE '' END AS scripts, concat_ws(chr(10), CASE WHEN k4 THEN '+js(a, b)' END, CASE WHEN k1 THEN '.ad' END) AS exceptions, k5 AS generichide FROM m""")
+def page_resources(spark: SparkSession, d: str) -> DataFrame:
+    return requests.page_resources(spark.read.parquet(f"{d}/pages.parquet").select("url"), corpus(spark, d, "F14"))
+
+
+_NET = "WITH r AS (SELECT * FROM (" + _ODD_LINES + ") WHERE k IN (10, 11, 12, 13, 14, 15, 16, 17))"
+_NET_FLAGS = "k <> 17 AS is_regex, k = 11 AS is_complete_regex, k = 16 AS with_all, k = 10 AS has_domain_opts, k IN (12, 13, 14) AS has_modifier, k = 15 AS trimmable_wildcards, k = 17 AS mixed_case"
+
+
+@_query(f"{_NET} SELECT line AS rule, true AS is_network, {_NET_FLAGS} FROM r")
+def rule_diagnostics_options(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus(spark, d, "F12").select(F.col("line").alias("rule"), rewrite.diagnostics(F.col("line")).alias("d"))
+    return rows.filter("d is not null").select("rule", "d.*")
+
+
+@_query(f"""{_NET}, f AS (SELECT line, {_NET_FLAGS}, CASE WHEN k IN (15, 17) THEN replace(replace(line, '/ad*', '/ad'), '/AD', '/ad') ELSE line END AS sig FROM r), n AS (SELECT count(*) AS total FROM ({sql("F12")}))
+    SELECT any_value(total) AS total, count(*) AS network, count(*) FILTER (is_regex) AS regex, count(*) FILTER (with_all) AS with_all, count(*) FILTER (has_domain_opts) AS with_domains, count(*) FILTER (has_modifier) AS with_modifier,
+    count(*) FILTER (trimmable_wildcards) AS wildcards, count(*) FILTER (mixed_case) AS mixed_case, count(*) FILTER (with_all OR trimmable_wildcards OR mixed_case) AS rewritten, any_value(total) - count(DISTINCT sig) AS merged,
+    round(100.0 * count(*) FILTER (is_regex) / any_value(total), 3) AS regex_pct FROM f, n""")
+def inefficiency_report_options(spark: SparkSession, d: str) -> DataFrame:
+    return rewrite.inefficiency(_table(spark, d, "F12"))
