@@ -1,11 +1,13 @@
 """Requests against rules of every form: anchors, wildcards, separators, regular expressions, options, exceptions,
 ``important`` and redirects.
 
-A rule is filed under keys of which a request that it matches must have one: its host if it is anchored to a whole one,
-else its longest word that stands free, else three letters or one letter of its longest literal, else the sites that it is
-for, else the types that it covers. Requests have all their keys, so candidates come from one join on equal keys, and the
-rule's pattern and options are then held against each. Only regular expressions and patterns of wildcards alone that name
-no site are tried on all requests of a type.
+A rule is filed under keys of which a request that it matches must have one: its host, and its path up to the last
+separator that is sure to be there, if it is anchored to a whole host, else its longest word that stands free, else three
+letters or one letter of its longest literal, else the sites that it is for, else the types that it covers. Requests have
+all their keys of the kinds that rules have, so candidates come from one join on equal keys, which moves hashes of keys and
+requests and the rules; a rule's pattern and options are then held against each request that it meets. Many rules and many
+requests of one host meet by their paths. Only regular expressions and patterns of wildcards alone that name no site are
+tried on all requests of a type.
 
 A request is (url, source, type): source is the URL of the page that makes it; a type that isn't known, or null, is
 ``other``. A null source is no site, and third party to all. URLs that aren't ``scheme://...``, null ones included, match
@@ -26,13 +28,18 @@ from pyspark.sql import functions as F
 
 from ..functions import cosmetic, rules
 from ..functions import tables as T
-from .match import host_of
+from .match import _URL, host_of
 from .storage import stored
 from .subsume import distinct_rules, registrable, strip_badfilters
 
 TYPES = tuple(t for t in T.CONTENT_TYPES if t != "xhr")
+#: What keys begin with.
+KINDS = ("h:", "w:", "g:", "s:", "t:")
 _PARTY = {"third-party": True, "3p": True, "~first-party": True, "~1p": True, "first-party": False, "1p": False, "~third-party": False, "~3p": False}
 _BLOCKS_NOTHING = ("csp", "removeparam", "generichide")
+_CUT = "(?=[^A-Za-z0-9_.%-])"
+#: Pieces of a path, each from a separator on, that a key has at most.
+PIECES = 16
 _SPECIAL = r"([\\.+?(){}\[\]$|^*])"
 
 
@@ -54,6 +61,21 @@ def pattern_regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)"), head, body, F.when(right == "|", r"\z").otherwise(""))
 
 
+def _paths(rest: Column) -> Column:
+    """What follows a request's host, up to each of its first separators: '' first, all of it last if it is no longer."""
+    pieces = F.slice(F.split(rest, _CUT, -1), 1, PIECES)
+    return F.transform(F.sequence(F.lit(0), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, F.lit(1), i), ""))
+
+
+def _path(pattern: Column) -> Column:
+    """The path of a pattern with a whole host, as far as one of ``_paths`` of each request that it matches. What a caret
+    or the URL's end follows is whole; another path can go on in any way from its last separator."""
+    parts = r"(?s)\A\|\|[^/^|]*(/[^*^|]*)(\^|\|\z)?"
+    pieces = F.split(F.regexp_extract(pattern, parts, 1), _CUT, -1)
+    sure = F.when(F.regexp_extract(pattern, parts, 2) == "", F.size(pieces) - 1).otherwise(F.size(pieces))
+    return F.array_join(F.slice(pieces, F.lit(1), F.least(sure, F.lit(PIECES))), "")
+
+
 def _keys(pattern: Column, regex: Column, sites: Column, types: Column) -> Column:
     """The keys that a rule is filed under."""
     low = rules.ascii_lower(pattern)
@@ -66,7 +88,7 @@ def _keys(pattern: Column, regex: Column, sites: Column, types: Column) -> Colum
     gram = F.when(F.length(literal) >= 3, F.right(literal, F.lit(3))).otherwise(F.right(literal, F.lit(1)))
     marked = lambda mark, x: F.array(F.concat(F.lit(mark), x))
     wide = F.when(F.size(sites) > 0, F.transform(sites, lambda s: F.concat(F.lit("s:"), s))).otherwise(F.transform(types, lambda t: F.concat(F.lit("t:"), t)))
-    plain = F.when(host != "", marked("h:", host)).when(F.size(words) > 0, marked("w:", longest(words))).when(F.size(literals) > 0, marked("g:", gram)).otherwise(wide)
+    plain = F.when(host != "", marked("h:", F.concat(host, _path(low)))).when(F.size(words) > 0, marked("w:", longest(words))).when(F.size(literals) > 0, marked("g:", gram)).otherwise(wide)
     return F.when(regex, wide).otherwise(plain)
 
 
@@ -101,8 +123,8 @@ def filed_rules(table: DataFrame, generichide: bool = False) -> DataFrame:
     return rows.withColumn("keys", _keys(F.col("pattern"), F.col("is_regex"), F.col("sites"), F.col("types"))).drop("pattern", "is_regex")
 
 
-def asked(requests: DataFrame, suffixes: Sequence[str] = T.PUBLIC_SUFFIXES) -> DataFrame:
-    """The distinct requests with their sites, and an array of all their keys."""
+def asked(requests: DataFrame, suffixes: Sequence[str] = T.PUBLIC_SUFFIXES, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """The distinct requests with their sites, and an array of all their keys of some kinds."""
     rows = requests.select("url", "source", F.coalesce(F.when(_type(F.col("type")).isin(*TYPES), _type(F.col("type"))), F.lit("other")).alias("type")).distinct()
     base = rows.filter(F.col("url").rlike(r"(?i)\A[a-z][a-z0-9+.-]*://")).withColumn("text", F.regexp_replace("url", r"(?i)\A([a-z][a-z0-9+.-]*://)[^/?#@]*@", "$1"))
     base = base.withColumn("host", host_of(F.col("url"))).withColumn("site", F.coalesce(host_of(F.col("source")), F.lit("")))
@@ -110,17 +132,23 @@ def asked(requests: DataFrame, suffixes: Sequence[str] = T.PUBLIC_SUFFIXES) -> D
     low = rules.ascii_lower(F.col("text"))
     marked = lambda mark, xs: F.transform(F.array_distinct(xs), lambda x: F.concat(F.lit(mark), x))
     grams = F.concat(F.regexp_extract_all(low, F.lit("(?s)(.)"), F.lit(1)), F.regexp_extract_all(low, F.lit("(?s)(?=(...))"), F.lit(1)))
-    keys = F.concat(marked("h:", rules.label_suffixes(F.col("host"))), marked("w:", F.regexp_extract_all(low, F.lit("([a-z0-9%]+)"), F.lit(1))), marked("g:", grams), marked("s:", F.col("at")), F.array(F.concat(F.lit("t:"), "type")))
+    rest = rules.ascii_lower(F.regexp_extract(F.col("url"), _URL, 2))
+    at_host = F.flatten(F.transform(_paths(rest), lambda p: F.transform(rules.label_suffixes(F.col("host")), lambda h: F.concat(h, p))))
+    each = {"h:": at_host, "w:": F.regexp_extract_all(low, F.lit("([a-z0-9%]+)"), F.lit(1)), "g:": grams, "s:": F.col("at"), "t:": F.array("type")}
+    keys = F.concat(rules.none(), *[marked(k, each[k]) for k in kinds])
     return base.select("url", "source", "type", "text", "at", F.col("third").alias("is_third"), F.lower(F.substring_index("text", "://", 1)).alias("is_scheme"), keys.alias("keys"))
 
 
-def general_hits(requests: DataFrame, table: DataFrame, suffixes: Sequence[str] = T.PUBLIC_SUFFIXES, generichide: bool = False) -> DataFrame:
-    """(url, source, type, rule, exception, important, resource, blocks): every match."""
-    # stored: its keys thin out the requests' before rules and requests meet
+def _hits(requests: DataFrame, table: DataFrame, suffixes: Sequence[str], generichide: bool = False) -> DataFrame:
+    """general_hits, some of them repeated."""
+    # stored: the kinds of its keys are asked for before requests are given theirs
     filed = stored(filed_rules(table, generichide)).withColumn("key", F.explode("keys")).drop("keys")
-    found = asked(requests, suffixes).withColumn("key", F.explode("keys")).drop("keys")
-    # keys that no rule has are most of them, and go before URLs are moved
-    found = found.join(filed.select("key").distinct(), "key", "left_semi").join(filed, "key")
+    kinds = sorted(r.kind for r in filed.select(F.substring("key", 1, 2).alias("kind")).distinct().collect())
+    rows = asked(requests, suffixes, kinds).withColumn("id", F.xxhash64("url", "source", "type"))
+    # hashes alone meet; should two be equal, the pattern and the options tell
+    keyed = rows.select("id", F.explode("keys").alias("key")).select("id", F.xxhash64("key").alias("key"))
+    met = keyed.join(filed.withColumn("key", F.xxhash64("key")), "key").drop("key")
+    found = met.join(rows.drop("keys"), "id")
     holds = (
         F.array_contains("types", F.col("type"))
         & (F.col("third").isNull() | (F.col("third") == F.col("is_third")))
@@ -129,14 +157,19 @@ def general_hits(requests: DataFrame, table: DataFrame, suffixes: Sequence[str]
         & ((F.size("not_sites") == 0) | ~F.arrays_overlap("not_sites", "at"))
     )
     fits = F.call_function("rlike", F.col("text"), F.col("regex"))
-    return found.filter(holds).filter(fits).select("url", "source", "type", "rule", "exception", "important", "resource", "blocks").distinct()
+    return found.filter(holds).filter(fits).select("url", "source", "type", "rule", "exception", "important", "resource", "blocks")
+
+
+def general_hits(requests: DataFrame, table: DataFrame, suffixes: Sequence[str] = T.PUBLIC_SUFFIXES, generichide: bool = False) -> DataFrame:
+    """(url, source, type, rule, exception, important, resource, blocks): every match."""
+    return _hits(requests, table, suffixes, generichide).distinct()
 
 
 def check_requests(requests: DataFrame, table: DataFrame, suffixes: Sequence[str] = T.PUBLIC_SUFFIXES) -> DataFrame:
     """(url, source, type, hit, exception, important, redirect, blocked) of each distinct request. An exception keeps a
     request from being blocked and redirected, unless an ``important`` rule matches."""
     plain = ~F.col("exception")
-    found = general_hits(requests, table, suffixes).groupBy("url", "source", "type").agg(
+    found = _hits(requests, table, suffixes).groupBy("url", "source", "type").agg(
         F.bool_or(plain & F.col("blocks")).alias("hit"), F.bool_or("exception").alias("exception"), F.bool_or(plain & F.col("important") & F.col("blocks")).alias("important"),
         F.min(F.when(plain & (F.col("resource") != ""), rules.canonical_resource(F.col("resource")))).alias("redirect"),
     )

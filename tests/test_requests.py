@@ -5,6 +5,8 @@ import logging
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from hedgerow.operators import requests
 from hedgerow.plans import audits
 from hedgerow.plans.build import build
@@ -83,6 +85,40 @@ def test_patterns_against_brute_force(spark):
     assert got == {(u, r) for r in taken for u in urls if regex(r).search(u)}
 
 
+def test_many_paths_of_one_host_meet_few_rules(spark):
+    rules = [f"||one.test/en/{i}^" for i in range(300)] + ["||one.test^", "||test/en/7*x"]
+    urls = [f"https://www.one.test/en/{i}{tail}" for i in range(300) for tail in ("", "?q=1")]
+    table, asked = rule_rows(spark, rules), spark.createDataFrame([(u, None, "other") for u in urls], REQUEST)
+    keyed = lambda rows, c: rows.select(c, F.explode("keys").alias("key"))
+    met = keyed(requests.asked(asked), "url").join(keyed(requests.filed_rules(table), "rule"), "key").count()
+    assert met == 3 * len(urls)  # the rule of its path, that of its host, and one that is open behind /en
+    rows = requests.general_hits(asked, table).collect()
+    assert len(rows) == 2 * len(urls) and {r.rule for r in rows} == set(rules[:-1])
+
+
+def test_paths_against_brute_force(spark):
+    """Rules for hosts and paths on every request, one by one."""
+    rng = random.Random(12)
+    bit = lambda most: "".join(rng.choice(["a", "b", "A", "/", "/", "?", "é", "😀", "-", "%2", "=", ":"]) for _ in range(rng.randint(0, most)))
+    deep = "/a" * 20
+    rules = {"||" + rng.choice(["a.test", "test", "w.a.test"]) + "/" + bit(3) + rng.choice(["", "^", "^", "|", "*", "*^", "^a", "/", "/^", "|b"]) for _ in range(400)}
+    rules = sorted(rules | {f"||test{deep}^", f"||test{deep}/b", f"||test{deep}b^", f"||test{deep[:33]}^", f"||test{deep[:30]}|"})
+    urls = {f"http://{rng.choice(['', 'me@'])}{rng.choice(['a.test', 'w.a.test', 'W.a.Test', 'x.test', 'test'])}{rng.choice(['', '', '', ':8'])}{rng.choice(['/', '/', '/', '?', ''])}{bit(5)}" for _ in range(400)}
+    urls = sorted(urls | {f"http://a.test{deep}{x}" for x in ("", "b", "/b", "/bc", "?")} | {f"http://test{deep[:30]}"})
+
+    def regex(rule):
+        core, tail = re.fullmatch(r"\|\|(.*?)(\|)?", rule).groups()
+        body = "".join({"*": ".*", "^": "(?:[^A-Za-z0-9_.%-]|\\Z)"}.get(c, re.escape(c)) for c in core)
+        return re.compile(r"\A[a-z]+://(?:[^/?#:]*\.)?" + body + (r"\Z" if tail else ""), re.IGNORECASE | re.ASCII)
+
+    table, asked = rule_rows(spark, rules), spark.createDataFrame([(u, None, "image") for u in urls], REQUEST)
+    taken = {r.rule for r in requests.filed_rules(table).collect()}
+    assert len(taken) > 150
+    got = {(r.url, r.rule) for r in requests.general_hits(asked, table).collect()}
+    want = {(u, r) for r in taken for u in urls if regex(r).search(re.sub("(?<=//)[^/?#@]*@", "", u))}
+    assert len(want) > 300 and got == want
+
+
 def test_page_resources(spark):
     pages = spark.createDataFrame([("https://w.a.test/x", 1), ("https://w.a.test/x", 2), ("http://b.test/", 3), (None, 4)], "url string, rule int")
     rules = ["a.test##.ad", "w.a.test#@#.ad", "a.test##.b", "a.test##.c:has-text(x)", "a.test##+js(f, 1)", "@@||b.test^$generichide", "b.test,a.test##.z", "a.test##.b"]
