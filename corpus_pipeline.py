@@ -33,7 +33,7 @@ def repeated_lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 of five-word shingles) one document stays, that with the smallest doc_id (of
+    """Of each group of near copies (by SimHash blocks and the exact share, 0.8 of five-word shingles; see similar) one document stays, that with the smallest doc_id (of
     several texts under it, that with the least hash); rows without a doc_id all stay."""
     ship(spark)
     rows = docs.select(*COLUMNS)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import in_batches, slices, written
 from .components import components
 
 #: Fingerprints that one task compares at once.
@@ -100,6 +100,11 @@ def blocks_for(n: int, distance: int) -> int:
 
 def linked(fps: np.ndarray, distance: int) -> Iterator[np.ndarray]:
     """The groups (two members at least) that links within ``distance`` bits join; no pair is kept."""
+    return (fps[g] for g in linked_at(fps, distance))
+
+
+def linked_at(fps: np.ndarray, distance: int) -> Iterator[np.ndarray]:
+    """Where the members of each group of ``linked`` are."""
     left = np.arange(len(fps))
     while len(left) > 1:
         group, todo, left = [int(left[0])], [int(left[0])], left[1:]
@@ -111,7 +116,7 @@ def linked(fps: np.ndarray, distance: int) -> Iterator[np.ndarray]:
                 todo += new
                 left = left[~near]
         if len(group) > 1:
-            yield fps[group]
+            yield np.array(group)
 
 
 def _stars(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
@@ -127,9 +132,15 @@ def _stars(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         rest = group[group.view(np.int64) != least]
         return np.stack([rest, np.full(len(rest), least).view(np.uint64)], axis=1)
 
+    for rows, bounds in _whole(batches, 4):
+        yield from out(_groups(rows, bounds, distance, star))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of longs (bucket in three columns) with the bounds of their buckets, each bucket whole."""
     held: np.ndarray | None = None
     for b in batches:
-        rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+        rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)], axis=1)
         if held is not None:
             rows = np.concatenate([held, rows])
         if not len(rows):
@@ -137,9 +148,9 @@ def _stars(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         cut = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
         bounds = np.concatenate([[0], cut])
         held = rows[bounds[-1] :]
-        yield from out(_groups(rows, bounds, distance, star))
+        yield rows, bounds
     if held is not None:
-        yield from out(_groups(held, np.array([0, len(held)]), distance, star))
+        yield held, np.array([0, len(held)])
 
 
 def _groups(rows: np.ndarray, bounds: np.ndarray, distance: int, star) -> list[np.ndarray]:  # noqa: ANN001
@@ -157,22 +168,55 @@ def _groups(rows: np.ndarray, bounds: np.ndarray, distance: int, star) -> list[n
     return found
 
 
-def link(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """``(fp, root)`` for the fingerprints that are linked to others, from a table of distinct ``fp``."""
-    chosen = masks(distance, blocks_for(fps.count(), distance))
+def _dealt(fps: DataFrame, chosen: list[int]) -> DataFrame:
+    """``(k, key, part, *columns)`` of fps(.., fp), sorted by bucket: the rows that agree in the bits of a mask."""
     keys = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(chosen)])).alias("x")
-    buckets = fps.select("fp", keys).select("x.k", "x.key", "fp")
+    buckets = fps.select("*", keys).select("x.k", "x.key", *fps.columns)
     heavy = buckets.groupBy("k", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET)
     parts = F.ceil(F.col("n") / (BUCKET // 2))
     # a heavy bucket of p parts: every part meets every other in one task
-    own = F.pmod(F.xxhash64("fp"), F.col("p"))
+    own = F.pmod(F.xxhash64(*fps.columns), F.col("p"))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("p") - 1), lambda i: F.least(own, i) * F.col("p") + F.greatest(own, i))
     dealt = (
         buckets.join(heavy.select("k", "key", parts.alias("p")), ["k", "key"], "left")
         .withColumn("part", F.when(F.col("p").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair))
-        .select("k", "key", F.explode("part").alias("part"), "fp")
+        .select("k", "key", F.explode("part").alias("part"), *fps.columns)
     )
-    sorted_ = dealt.repartition("k", "key", "part").sortWithinPartitions("k", "key", "part")
+    return dealt.repartition("k", "key", "part").sortWithinPartitions("k", "key", "part")
+
+
+def _met(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatch]:
+    """(key, id) of the groups in each bucket that links within ``far`` bits join, from rows (k, key, part, id, fp)."""
+    for rows, bounds in _whole(batches, 5):
+        sizes, fps = np.diff(bounds), rows[: bounds[-1], 4].astype(np.int64).view(np.uint64)
+        bucket = np.repeat(np.arange(len(sizes)), sizes)
+        some = sizes > 64
+        for d in range(1, min(64, sizes.max(initial=1))):
+            near = (bucket[d:] == bucket[:-d]) & (np.bitwise_count(fps[d:] ^ fps[:-d]) <= far)
+            some[bucket[d:][near]] = True
+        keys, ids = [], []
+        for i in np.flatnonzero(some):
+            for g in linked_at(fps[bounds[i] : bounds[i + 1]], far):
+                of = np.sort(rows[bounds[i] + g, 3])
+                keys.append(np.full(len(of), xxhash.xxh3_64_intdigest(rows[bounds[i], :3].tobytes() + of[:1].tobytes()), np.uint64))
+                ids.append(of)
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
+
+
+def met(fps: DataFrame, distance: int, far: int) -> DataFrame:
+    """``(key, id)`` of fps(id, fp): keys stand for groups whose members some block choice brings together and links within
+    ``far`` bits join. Those that differ in ``distance`` bits at most have one in common for certain."""
+    blocks, n = distance + 2, fps.count()
+    while blocks < distance + 5 and 64 * (blocks - distance) / blocks < np.log2(max(n, 1)) - 8:
+        blocks += 1
+    return in_batches(_dealt(fps.select("id", "fp"), masks(distance, blocks)), lambda it: _met(it, far), "key long, id long")
+
+
+def link(fps: DataFrame, distance: int = 4) -> DataFrame:
+    """``(fp, root)`` for the fingerprints that are linked to others, from a table of distinct ``fp``."""
+    chosen = masks(distance, blocks_for(fps.count(), distance))
+    sorted_ = _dealt(fps, chosen)
     edges = sorted_.mapInArrow(lambda it: _stars(it, distance), "a long, b long")
     return components(edges).select(F.col("node").alias("fp"), "root")
 

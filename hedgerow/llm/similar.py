@@ -1,14 +1,17 @@
 """Operator 4's links by shingle similarity, for the pipeline: texts that share at least ``similarity`` of their shingles.
 
-Of 64 SimHash bits, about ten differ between texts that share 0.8 of their shingles, and often more than fifteen; blocks
-that pigeonhole guarantees at such a distance are two to four bits wide and tell nothing apart. So the pairs are
-proposed otherwise here: minima of hashed shingles are cut into ``BANDS`` keys of ``ROWS`` minima each; texts that share
-a key meet. There the exact Jaccard similarity of their shingle sets decides, so no pair is linked wrongly. A pair of
-similarity s meets in no key with probability (1 - s^ROWS)^BANDS: 3e-6 at 0.8. Equal shingle sets count once, and so do
-keys at which the same texts meet. The first ``FIRST`` keys are looked at first; at the others, sets that are linked by
-then aren't compared again, and keys at which only such sets meet are left out, so a large group of copies costs little
-more than its first keys. A key yields a star for each of its linked groups, not its pairs; stars are merged into
-components. Keys with over ``SHINGLES`` shingles are dealt out as pairs of parts, each small enough for a task.
+As in operator 4, texts have SimHash fingerprints (here of their distinct shingles), these are cut into blocks, and those
+that agree on some choice of blocks meet; groups within ``FAR`` bits are candidates. All pairs that differ in up to
+``DISTANCE`` bits meet. The exact Jaccard similarity of their shingle sets decides, so no pair is linked wrongly.
+
+Of 64 bits, about ten differ between texts that share 0.8 of their shingles, and often more than fifteen; no blocks that
+guarantee such a distance tell anything apart. So the rest comes by another way, and no link is lost: minima of hashed
+shingles are cut into ``BANDS`` keys of ``ROWS`` minima each, and sets that share a key and that fingerprints have not
+linked yet are compared in the same way. A pair of similarity s meets in no key with probability (1 - s^ROWS)^BANDS: 3e-6
+at 0.8. Equal shingle sets count once, and so do keys at which the same texts meet. Keys at which only sets meet that are
+linked by then are left out, so a large group of copies costs little. A key yields a star for each of its linked groups,
+not its pairs; stars are merged into components. Keys with over ``SHINGLES`` shingles are dealt out as pairs of parts, each
+small enough for a task.
 
 Defined results: shingles are op4's, of ``words`` words. Null and empty texts, and texts without words, are equal.
 Texts with fewer words than a shingle are one shingle. Repeated rows give repeated rows. Rows with a null doc_id take
@@ -28,10 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, slices, written
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import majority, met, shingle_hashes
 
-#: Keys of a text, those of them that are looked at first, and minima in each.
-BANDS, FIRST, ROWS = 24, 6, 4
+#: Bits in which fingerprints that surely meet differ at most, and those that are candidates if they meet.
+DISTANCE, FAR = 6, 12
+#: Keys of a text for what fingerprints leave, and minima in each.
+BANDS, ROWS = 24, 4
 #: Shingles that one task compares at once.
 SHINGLES = 4_000_000
 _RNG = np.random.default_rng(4)
@@ -125,7 +130,7 @@ def _stars(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Iterator[
 
 
 def _scanned(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, row, id, keys)`` for every row of docs(doc_id, row, text)."""
+    """``(doc_id, row, id, fp, keys)`` for every row of docs(doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -133,9 +138,10 @@ def _scanned(docs: DataFrame, words: int) -> DataFrame:
             found = [keys(s) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([set_id(s) for s in sets], pa.int64()), lists], ["doc_id", "row", "id", "keys"])
+            prints = majority(np.concatenate(sets), np.cumsum([len(s) for s in sets])).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([set_id(s) for s in sets], pa.int64()), pa.array(prints), lists], ["doc_id", "row", "id", "fp", "keys"])
 
-    return in_batches(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, id long, keys array<long>")
+    return in_batches(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, id long, fp long, keys array<long>")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -183,17 +189,16 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     base = docs.select("doc_id", row_key(docs["text"]).alias("row"), docs["text"].cast("string").alias("text"))
     found = written(_scanned(base, words), "shingled")
     # each set once, and the row to take it from
-    distinct = written(found.groupBy("id").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "row")).alias("at")), "distinct-sets")
-    # keys at which different sets meet
-    met = found.select("id", F.posexplode("keys").alias("band", "key"))
-    several = _several(met, "id")
-    members = written(met.join(several, "key").select("key", "id", "band").distinct(), "members")
-    at = members.select("id").distinct().join(distinct, "id").select("id", F.col("at.doc_id").alias("d"), F.col("at.row").alias("r"))
+    distinct = written(found.groupBy("id").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "row")).alias("at"), F.min("fp").alias("fp")), "distinct-sets")
+    close = written(met(distinct.select("id", "fp"), DISTANCE, FAR), "members")
+    # what is left: keys at which different sets meet
+    shared = found.select("id", F.explode("keys").alias("key"))
+    members = written(shared.join(_several(shared, "id"), "key").select("key", "id").distinct(), "members")
+    at = members.select("id").union(close.select("id")).distinct().join(distinct, "id").select("id", F.col("at.doc_id").alias("d"), F.col("at.row").alias("r"))
     texts = base.join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("id", "text")
     sets = written(_sets(texts, words), "sets")
-    links = written(components(_edges(members.filter(F.col("band") < FIRST).select("key", "id", F.col("id").alias("root")), sets, share)), "links")
-    rest = members.filter(F.col("band") >= FIRST).join(links.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    rest = written(rest, "members")
+    links = written(components(_edges(close.select("key", "id", F.col("id").alias("root")), sets, share)), "links")
+    rest = written(members.join(links.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "members")
     more = _edges(rest, sets, share)
     links = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     roots = distinct.join(links.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "first", F.coalesce("root", "id").alias("root"))

@@ -107,3 +107,33 @@ def test_one_row_of_repeated_rows_stays(spark):
 
 def test_empty(spark):
     assert similar.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_fingerprints_alone_link_what_blocks_guarantee(spark, monkeypatch):
+    monkeypatch.setattr(similar, "keys", lambda shingles: np.empty(0, np.int64))
+    rng = np.random.default_rng(11)
+    bases = [[f"w{int(x)}" for x in rng.integers(0, 5000, 204)] for _ in range(30)]
+    rows = [(10 * d + k, " ".join(changed(base, k, rng))) for d, base in enumerate(bases) for k in range(3)]
+    rows += [(1000, "a b c d e f g h i j k"), (1001, "a b c d e f g h i j k " * 2)]
+    sets = {d: similar.shingle_set(t, 5) for d, t in rows}
+    prints = {d: int(simhash.majority(s, np.array([len(s)]))[0]) for d, s in sets.items()}
+    near = lambda a, b: 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))
+    sure = [(a, b) for a in sets for b in sets if a < b and near(a, b) and (prints[a] ^ prints[b]).bit_count() <= similar.DISTANCE]
+    got = {r.doc_id: r.component_id for r in similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(sure) > 30 and all(got[a] == got[b] for a, b in sure)
+    assert all(got[d] // 10 == d // 10 for d, _ in rows if d < 1000) and (got[1000], got[1001]) == (1000, 1001)
+
+
+def test_fingerprints_that_meet_against_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 50)
+    rng = np.random.default_rng(12)
+    fps = rng.integers(-(2**63), 2**63 - 1, 60)
+    flips = [sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 7)), replace=False)) for _ in range(140)]
+    fps = np.concatenate([fps, fps[rng.integers(0, 3, 140)] ^ np.array(flips, np.int64)])
+    groups = {}
+    for r in simhash.met(spark.createDataFrame([(i, int(x)) for i, x in enumerate(fps)], "id long, fp long"), 6, 12).collect():
+        groups.setdefault(r.key, set()).add(r.id)
+    together = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    bits = np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None, :])
+    assert {(a, b) for a in range(200) for b in range(a + 1, 200) if bits[a, b] <= 6} <= together
+    assert all(len(g) > 1 and all(any(bits[a, b] <= 12 for b in g - {a}) for a in g) for g in groups.values())
